@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from scatterlake.llm.quality import op10_quality
+from scatterlake.llm.suffix import op4_suffix
 
 QUERIES = {
+    "op4_suffix": op4_suffix,
     "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
