@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from scatterlake.llm.forest import op6_forest
 from scatterlake.llm.quality import op10_quality
 from scatterlake.llm.suffix import op4_suffix
 
 QUERIES = {
+    "op6_forest": op6_forest,
     "op4_suffix": op4_suffix,
     "op10_quality": op10_quality,
 }
