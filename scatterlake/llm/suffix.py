@@ -318,15 +318,20 @@ def take(held, key, doc, s, e, batch, part) -> int:
     return sum(map(len, ctx))
 
 
+def _known(documents: DataFrame) -> DataFrame:
+    """Rows with a doc_id. The same plan stands on the left of both joins, so their exchange is made once."""
+    return documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
 def removed_spans(documents: DataFrame, contexts_held: int = CONTEXTS) -> DataFrame:
     """doc_id and spans, a list of [s, e) byte ranges to remove, of every document that loses any."""
-    texts = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    texts = _known(documents)
     found = texts.mapInArrow(_scan, "h long, c long, doc_id long, p long")
     own = F.struct("doc_id", "p")
     is_span = F.col("p") % 256 == 0
     equal = W.partitionBy("h", "c").orderBy("doc_id", "p")
     anchor = W.partitionBy("h")
-    judged = found.withColumn("earliest", is_span | (F.first(own).over(equal) == own)).withColumn("n", F.sum((F.col("earliest") & ~is_span).cast("long")).over(anchor))
+    judged = found.repartition(partitions(documents), "h").withColumn("earliest", is_span | (F.first(own).over(equal) == own)).withColumn("n", F.sum((F.col("earliest") & ~is_span).cast("long")).over(anchor))
     pieces = judged.where(is_span | ~F.col("earliest") | (F.col("n") > 1)).select(
         "doc_id",
         F.struct(
@@ -376,8 +381,9 @@ def _digest(batches):
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_spans(documents).select("doc_id", "text", "removed_spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    unknown = documents.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("array<struct<s:long,e:long>>").alias("removed_spans"))
+    return with_spans(_known(documents)).unionByName(unknown).select("doc_id", "text", "removed_spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
