@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from scatterlake.llm import decontaminate
 from scatterlake.llm.forest import op6_forest
 from scatterlake.llm.quality import op10_quality
 from scatterlake.llm.suffix import op4_suffix
 
 QUERIES = {
-    "op6_forest": op6_forest,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_suffix": op4_suffix,
+    "op6_forest": op6_forest,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": decontaminate.ORACLE,
+}
