@@ -320,7 +320,9 @@ def take(held, key, doc, s, e, batch, part) -> int:
 
 def _known(documents: DataFrame) -> DataFrame:
     """Rows with a doc_id. The same plan stands on the left of both joins, so their exchange is made once."""
-    return documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = documents.where(F.col("doc_id").isNotNull())
+    rows = rows if dict(rows.dtypes)["doc_id"] == "bigint" else rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def removed_spans(documents: DataFrame, contexts_held: int = CONTEXTS) -> DataFrame:
