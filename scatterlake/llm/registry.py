@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from scatterlake.llm import decontaminate
+from scatterlake.llm.ann import op1_ann
 from scatterlake.llm.forest import op6_forest
+from scatterlake.llm.language import op7_language
 from scatterlake.llm.paragraphs import op3_paragraphs
 from scatterlake.llm.pieces import op5_pieces
 from scatterlake.llm.quality import op10_quality
 from scatterlake.llm.suffix import op4_suffix
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_paragraphs": op3_paragraphs,
     "op4_suffix": op4_suffix,
     "op5_pieces": op5_pieces,
     "op6_forest": op6_forest,
+    "op7_language": op7_language,
     "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {
