@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from scatterlake.llm import decontaminate
+from scatterlake.llm import decontaminate, urls
 from scatterlake.llm.ann import op1_ann
 from scatterlake.llm.forest import op6_forest
+from scatterlake.llm.html import op9_html
 from scatterlake.llm.language import op7_language
 from scatterlake.llm.paragraphs import op3_paragraphs
 from scatterlake.llm.pieces import op5_pieces
@@ -19,8 +20,11 @@ QUERIES = {
     "op5_pieces": op5_pieces,
     "op6_forest": op6_forest,
     "op7_language": op7_language,
+    "op8_urls": urls.op8_urls,
+    "op9_html": op9_html,
     "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE,
+    "op8_urls": urls.ORACLE,
 }
