@@ -108,3 +108,9 @@ def keep_one(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFram
         return stay
     once = stay.join(small(again), F.col("doc_id") == F.col("again_id"), "left_semi").dropDuplicates(["doc_id"])
     return stay.join(small(again), F.col("doc_id") == F.col("again_id"), "left_anti").unionByName(once)
+
+
+ORACLE = similar.oracle(
+    f"nodes AS (SELECT coalesce(text, '') AS node, {similar.WORDS.format('text')} AS w, min(doc_id) AS rep, count(*) AS n_copies FROM documents GROUP BY coalesce(text, ''), text)",
+    "SELECT d.doc_id, c.class_id, coalesce(l.n_links, 0) AS n_links, n.n_copies FROM documents d JOIN nodes n ON n.node = coalesce(d.text, '') JOIN (SELECT reach.a AS node, min(m.rep) AS class_id FROM reach JOIN nodes m ON m.node = reach.b GROUP BY reach.a) c ON c.node = n.node LEFT JOIN links l ON l.node = n.node",
+)

@@ -130,3 +130,11 @@ def without_repeats(documents: DataFrame) -> DataFrame:
 
 def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated(table(spark, sf_dir, "documents"))
+
+
+ORACLE = similar.oracle(
+    f"lines AS (SELECT doc_id, unnest(range(len(p))) AS line, unnest(p) AS t FROM (SELECT DISTINCT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents WHERE doc_id IS NOT NULL)), "
+    f"long AS (SELECT doc_id, line, w, array_to_string(w, ' ') AS node FROM (SELECT doc_id, line, {similar.WORDS.format('t')} AS w FROM lines) WHERE len(w) >= {LEAST_WORDS}), "
+    "nodes AS (SELECT node, any_value(w) AS w, min(struct_pack(d := doc_id, n := line)) AS rep, count(*) AS n_copies FROM long GROUP BY node)",
+    "SELECT o.doc_id, o.line, len(o.w)::BIGINT AS n_words, c.first.d AS class_doc_id, c.first.n AS class_line, coalesce(l.n_links, 0) AS n_links, n.n_copies, (o.doc_id, o.line) <> (c.first.d, c.first.n) AS removed FROM long o JOIN nodes n USING (node) JOIN (SELECT reach.a AS node, min(m.rep) AS first FROM reach JOIN nodes m ON m.node = reach.b GROUP BY reach.a) c USING (node) LEFT JOIN links l USING (node) WHERE l.n_links > 0 OR n.n_copies > 1",
+)

@@ -225,3 +225,20 @@ def similar_classes(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], s
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counted = ends.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
     return single.unionByName(counted.join(components(links), "node").select("node", F.col("component").alias("class_node"), "n_links"))
+
+
+def oracle(nodes: str, select: str) -> str:
+    """SQL of exact Jaccard classes over nodes(node, w): shingles, pairs that share any, components by reachability."""
+    return f"""
+WITH RECURSIVE {nodes},
+shingle AS (SELECT DISTINCT node, CASE WHEN len(w) < {textops.SHINGLE_WORDS} THEN list_concat([len(w)::VARCHAR], w) ELSE w[i:i + {textops.SHINGLE_WORDS - 1}] END AS s FROM (SELECT node, w, unnest(range(1, greatest(len(w) - {textops.SHINGLE_WORDS - 2}, 2))) AS i FROM nodes WHERE len(w) > 0)),
+size AS (SELECT node, count(*) AS n FROM shingle GROUP BY node),
+common AS (SELECT a.node AS a, b.node AS b, count(*) AS n FROM shingle a JOIN shingle b ON a.s = b.s AND a.node <> b.node GROUP BY a.node, b.node),
+link AS (SELECT a, b FROM common JOIN size p ON p.node = a JOIN size q ON q.node = b WHERE common.n >= {THRESHOLD} * (p.n + q.n - common.n) - 1e-9),
+reach AS (SELECT node AS a, node AS b FROM nodes UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+links AS (SELECT a AS node, count(*) AS n_links FROM link GROUP BY a)
+{select}
+"""
+
+
+WORDS = r"list_filter(string_split_regex(lower(coalesce({}, '')), '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+'), lambda x: x <> '')"

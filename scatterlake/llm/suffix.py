@@ -415,3 +415,18 @@ def cut_repeats(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataF
             yield batch.select(columns)
 
     return with_spans(documents).mapInArrow(run, documents.schema)
+
+
+#: The definition itself: every 100-byte window with its first place, islands of covered bytes, what is left between them.
+ORACLE = f"""
+WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, s, substr(h, 2 * s + 1, {2 * WINDOW}) AS w FROM (SELECT doc_id, h, unnest(range(0, n - {WINDOW - 1})) AS s FROM raw)),
+dup AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS r FROM win) WHERE r > 1),
+isl AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {WINDOW} THEN 0 ELSE 1 END AS fresh FROM dup)),
+span AS (SELECT doc_id, min(s) AS a, max(s) + {WINDOW} AS b FROM isl GROUP BY doc_id, k),
+cut AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM span UNION ALL SELECT doc_id, max(b), NULL FROM span GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(CASE WHEN t IS NULL THEN substr(h, 2 * f + 1) ELSE substr(h, 2 * f + 1, 2 * (t - f)) END, '' ORDER BY f) AS h FROM cut JOIN raw USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, raw.h))) AS kept_sha256
+FROM raw LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
