@@ -20,6 +20,11 @@ def gaussian_kernel(size: int = 7, alpha: float = 2.5) -> np.ndarray:
     return np.outer(g, g)
 
 
+def _kernel(window: int) -> np.ndarray:
+    """Seven taps, fewer in windows that don't hold them."""
+    return gaussian_kernel(min(7, window - 1 + window % 2))
+
+
 def smooth(spectrum: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     """Cyclic smoothing of a centred magnitude spectrum, by the transform itself."""
     pad = np.zeros_like(spectrum)
@@ -67,7 +72,7 @@ def filtered(grid: np.ndarray, size: int, step: int, window, weight: np.ndarray)
 
 
 def clap(grid: np.ndarray, size: int = 32, alpha: float = 1.0, beta: float = 0.3, cell: float = 50.0, wavelength: float = 800.0) -> np.ndarray:
-    low, kernel = low_pass_response(size, cell, wavelength), gaussian_kernel()
+    low, kernel = low_pass_response(size, cell, wavelength), _kernel(size)
     return filtered(np.nan_to_num(grid), size, max(1, size // 4), lambda z: clap_window(z, alpha, beta, low, kernel), window_weight(size))
 
 
@@ -75,7 +80,7 @@ def goldstein(grid: np.ndarray, size: int = 32, alpha: float = 0.8, keep_amplitu
     """Adaptive filter whose result keeps the input's amplitude; optionally with the low-pass of the grid."""
     if min(grid.shape) < size:
         raise ValueError("the grid is smaller than a window")
-    kernel = gaussian_kernel()
+    kernel = _kernel(size)
     out = filtered(np.nan_to_num(grid), size, max(1, size // 2), lambda z: goldstein_window(z, alpha, kernel), window_weight(size, 2.0 / size))
     if keep_amplitude:
         out = np.abs(grid) * np.exp(1j * np.angle(out)) * (grid != 0)
@@ -93,7 +98,7 @@ def without_own_cell(grid: np.ndarray, own: np.ndarray, at: tuple[int, int], siz
     z[a, b] -= own
     if z.shape != (size, size):
         return 0j
-    low, kernel = low_pass_response(size, how.get("cell", 50.0), how.get("wavelength", 800.0)), gaussian_kernel()
+    low, kernel = low_pass_response(size, how.get("cell", 50.0), how.get("wavelength", 800.0)), _kernel(size)
     return complex(clap_window(z, how.get("alpha", 1.0), how.get("beta", 0.3), low, kernel)[a, b])
 
 

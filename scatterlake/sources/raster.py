@@ -47,7 +47,7 @@ def write_raster(pixels: DataFrame, folder: str, width: int, kind: str = "f32")
 
 def text_matrix(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """White-space separated numbers of text files, with the line number from 0; other numbers of columns are an error."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     lines = files.select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("line", "text"))
     parts = F.split(F.trim("text"), r"\s+")
     checked = F.when(F.size(parts) == len(names), parts).otherwise(F.raise_error(F.concat(F.lit("a line of other than "), F.lit(len(names)), F.lit(" numbers: "), F.col("text"))).cast("array<string>"))
