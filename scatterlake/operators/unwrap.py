@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -115,97 +114,91 @@ class Field:
         return r[:-1] + d[:, 1:] - r[1:] - d[:, :-1]
 
 
-def _arcs(rows: int, cols: int):
-    """Dual arcs: per loop, the loops beside it (-1: outside), the edge between and how a unit through it changes the edge."""
-    out: list[list[tuple[int, int, tuple[int, int], int]]] = [[] for _ in range((rows - 1) * (cols - 1) + 1)]
-    ground = len(out) - 1
-    node = lambda i, j: i * (cols - 1) + j if 0 <= i < rows - 1 and 0 <= j < cols - 1 else ground
-    for i in range(rows):
-        for j in range(cols - 1):
-            up, low = node(i - 1, j), node(i, j)  # the right edge closes the loop above and opens the one below
-            out[low].append((up, 0, (i, j), -1))
-            out[up].append((low, 0, (i, j), 1))
-    for i in range(rows - 1):
-        for j in range(cols):
-            west, east = node(i, j - 1), node(i, j)
-            out[west].append((east, 1, (i, j), -1))
-            out[east].append((west, 1, (i, j), 1))
-    return out, ground
-
-
-def _shortest(field: Field, arcs, starts: list[int], ends: set[int] | None):
-    """Label-correcting paths by increments; returns the path to the nearest end, or a negative cycle."""
-    far = {n: 0 for n in starts}
-    came: dict[int, tuple] = {n: None for n in starts}
-    hops = {n: 0 for n in starts}
-    todo, queued = deque(starts), set(starts)
-    while todo:
-        n = todo.popleft()
-        queued.discard(n)
-        for m, side, at, unit in arcs[n]:
-            k = int(field.extra[side][at])
-            new = far[n] + field.cost(side, at, k + unit) - field.cost(side, at, k)
-            if new < far.get(m, math.inf):
-                far[m], came[m], hops[m] = new, (n, side, at, unit), hops[n] + 1
-                if hops[m] >= len(arcs):
-                    return _cycle(came, m), True
-                if m not in queued:
-                    queued.add(m)
-                    todo.append(m)
-    if ends is None:
-        return None, False
-    goal = min((n for n in ends if n in far), key=lambda n: (far[n], n), default=None)
-    path = []
-    while goal is not None and came[goal] is not None:
-        path.append(came[goal])
-        goal = came[goal][0]
-    return path, False
-
-
-def _cycle(came, node):
-    seen = set()
-    while node not in seen:
-        seen.add(node)
-        node = came[node][0]
-    path, at = [], node
-    while True:
-        path.append(came[at])
-        at = came[at][0]
-        if at == node:
-            return path
-
-
-def _push(field: Field, path) -> None:
-    for _, side, at, unit in path:
-        field.extra[side][at] += unit
-
-
-def solve_flow(field: Field, most_cycles: int = 10_000) -> None:
-    """Integer flow without residues at locally least cost: cancel negative cycles, then discharge residues along shortest paths."""
+def _edge_costs(field: Field, side: int, extra: np.ndarray) -> np.ndarray:
+    """Cost of ``extra`` cycles on every edge of one side, as field.cost() has it."""
+    offset, sigsq, dzmax, lay = (field.costs[side][..., k] for k in range(4))
+    dz = np.abs((extra if side == 0 else -extra) * CYCLE + offset)
+    s = np.maximum(1, sigsq)
+    far = np.where(lay == NO_SHELF, UNBOUNDED, np.maximum(0, dzmax))
+    near = dz * dz // s
+    near = np.where(lay == NO_SHELF, near, np.minimum(near, lay))
+    out = np.where(dz > far, (dz - far) ** 2 // (2 * s) + lay, near)
+    return np.where((sigsq == MASKED) | ~field.there[side], 0, out)
+
+
+def solve_flow(field: Field, reach: int = 3) -> None:
+    """Integer flow without residues: each edge starts at its own cheapest flow, then residues are discharged one unit
+    at a time along shortest paths of reduced costs.
+
+    With convex edge costs every step keeps the flow optimal for what is discharged so far, so the
+    result is a minimum-cost flow; costs with a shelf are not convex, and there it is a heuristic.
+    A search ends at the nearest opposite residue or the outside, so it stays local.
+    """
     rows, cols = field.phase.shape
     if rows < 2 or cols < 2:
         return
-    arcs, ground = _arcs(rows, cols)
-    for _ in range(most_cycles):
-        cycle, found = _shortest(field, arcs, list(range(len(arcs))), None)
-        if not found:
-            break
-        before = field.total()
-        _push(field, cycle)
-        if field.total() >= before:
-            _push(field, [(n, s, at, -u) for n, s, at, u in cycle])
-            break
-    loops = field.loops().ravel()
-    while loops.any():
-        plus, minus = [int(n) for n in np.flatnonzero(loops > 0)], {int(n) for n in np.flatnonzero(loops < 0)}
-        if plus:
-            path, bad = _shortest(field, arcs, plus[:1], minus | {ground})
-        else:
-            path, bad = _shortest(field, arcs, [ground], minus)
-        if not path and not bad:
+    for side in (0, 1):
+        trials = np.stack([_edge_costs(field, side, np.full_like(field.extra[side], k)) for k in (0, *(s * k for k in range(1, reach + 1) for s in (1, -1)))])
+        best = trials.argmin(axis=0)
+        field.extra[side] = np.where(best == 0, 0, np.where(best % 2 == 1, (best + 1) // 2, -(best // 2)))
+    width, height = cols - 1, rows - 1
+    ground, base = width * height, rows * width
+    plus, minus = ([int(v) for s in (0, 1) for v in (_edge_costs(field, s, field.extra[s] + u) - _edge_costs(field, s, field.extra[s])).ravel()] for u in (1, -1))
+    charge = [int(v) for v in field.loops().ravel()] + [0]
+    level = [0] * (ground + 1)
+
+    def beside(n: int):
+        """(other loop, edge, unit that a flow from n to it puts on the edge)."""
+        i, j = divmod(n, width)
+        yield (n - width if i else ground), i * width + j, -1
+        yield (n + width if i + 1 < height else ground), (i + 1) * width + j, 1
+        yield (n - 1 if j else ground), base + i * cols + j, 1
+        yield (n + 1 if j + 1 < width else ground), base + i * cols + j + 1, -1
+
+    def discharge(start: int, way: int) -> None:
+        """One unit from a positive loop (way 1), or to a negative one (way -1)."""
+        far, came, settled = {start: 0}, {start: None}, {}
+        heap = [(0, start)]
+        goal = None
+        while heap:
+            d, n = heapq.heappop(heap)
+            if n in settled:
+                continue
+            settled[n] = d
+            if n == ground or charge[n] * way < 0:
+                goal = n
+                break
+            for m, e, unit in beside(n):
+                if m in settled:
+                    continue
+                step = unit if way > 0 else -unit
+                cost = (plus[e] if step > 0 else minus[e]) + (level[n] - level[m]) * way
+                new = d + (cost if cost > 0 else 0)
+                if new < far.get(m, math.inf):
+                    far[m], came[m] = new, (n, e, step)
+                    heapq.heappush(heap, (new, m))
+        if goal is None:
             raise RuntimeError("a residue can't be discharged")
-        _push(field, path)
-        loops = field.loops().ravel()
+        top = settled[goal]
+        for n, d in settled.items():
+            level[n] += (d - top) * way
+        charge[start] -= way
+        if goal != ground:
+            charge[goal] += way
+        while came[goal] is not None:
+            goal, e, step = came[goal]
+            side, at = (0, divmod(e, width)) if e < base else (1, divmod(e - base, cols))
+            field.extra[side][at] += step
+            k = int(field.extra[side][at])
+            now = field.cost(side, at, k)
+            plus[e], minus[e] = field.cost(side, at, k + 1) - now, field.cost(side, at, k - 1) - now
+
+    for n in range(ground):
+        while charge[n] > 0:
+            discharge(n, 1)
+    for n in range(ground):
+        while charge[n] < 0:
+            discharge(n, -1)
 
 
 def labels_of(field: Field) -> np.ndarray:
@@ -248,7 +241,9 @@ def unwrap_grid(phase: np.ndarray, right: np.ndarray, down: np.ndarray) -> np.nd
     """Unwrapped grid: congruent to the input modulo 2 pi, zero where it is zero."""
     field = Field(phase, right, down)
     solve_flow(field)
-    label = refine_labels(field, labels_of(field))
+    label = labels_of(field)
+    if any((c[..., 3] != NO_SHELF)[t].any() for c, t in zip(field.costs, field.there, strict=True)):
+        label = refine_labels(field, label)  # without shelves the flow is already at its least cost
     return np.where(phase != 0, phase + TAU * label, 0.0)
 
 

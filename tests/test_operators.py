@@ -103,6 +103,25 @@ def test_flow_removes_residues_and_lowers_the_objective():
     assert (out[holes == 0] == 0).all() and np.allclose(np.angle(np.exp(1j * (out - holes)))[holes != 0], 0, atol=1e-9)
 
 
+def test_flow_is_optimal_on_small_grids():
+    """Against all flows: per cell one of a few cycle labels, the first cell fixed."""
+    import itertools
+
+    for _ in range(6):
+        phase = RNG.uniform(-np.pi, np.pi, (2, 4))
+        right, down = unwrap.default_costs(2, 4)
+        right[..., 0], down[..., 0] = RNG.integers(-120, 120, right.shape[:2]), RNG.integers(-120, 120, down.shape[:2])
+        right[..., 1], down[..., 1] = RNG.integers(5, 300, right.shape[:2]), RNG.integers(5, 300, down.shape[:2])
+        field = unwrap.Field(phase, right, down)
+        unwrap.solve_flow(field)
+        least = min(
+            sum(field.cost(0, at, int(n[at[0], at[1] + 1] - n[at] - field.delta[0][at])) for at in np.ndindex(2, 3)) + sum(field.cost(1, at, int(n[at[0] + 1, at[1]] - n[at] - field.delta[1][at])) for at in np.ndindex(1, 4))
+            for rest in itertools.product(range(-2, 3), repeat=7)
+            for n in [np.array([0, *rest]).reshape(2, 4)]
+        )
+        assert field.total() == least
+
+
 def test_filters_keep_smooth_fields_and_lower_noise():
     y, x = np.mgrid[:48, :40]
     clean = np.exp(1j * (0.1 * x + 0.05 * y))
