@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scatterlake.llm import similar, textops
-from scatterlake.llm.tables import checkpoint, small, table
+from scatterlake.llm.tables import checkpoint, join_counted, small, table
 
 TREES, LABEL, RECALL = 20, 6, 0.999
 
@@ -91,7 +91,7 @@ def join_classes(documents: DataFrame) -> DataFrame:
     of_class = linked.join(nodes.select("node", "rep"), "node").groupBy("class_node").agg(F.min("rep").alias("least"))
     classes = linked.join(of_class, "class_node").select("node", "least", "n_links")
     judged = nodes.select("node", "rep", "n_copies").join(classes, "node", "left").select("node", F.coalesce("least", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
-    return scanned.select("doc_id", "node").join(judged, "node").select("doc_id", "class_id", "n_links", "n_copies")
+    return join_counted(scanned.select("doc_id", "node"), checkpoint(judged), "node", "n_copies").select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def op6_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

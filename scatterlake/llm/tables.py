@@ -34,3 +34,16 @@ def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def partitions(frame: DataFrame) -> int:
     return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, share: int = 1000) -> DataFrame:
+    """Inner join of rows with a table of one row a key that counts the key's rows.
+
+    Keys with over 1/share of all rows are fewer than ``share``, so their part of the
+    table is broadcast and their rows stay where they are; the others shuffle.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * share > total
+    crowded = F.broadcast(table.where(hot))
+    rest = rows.join(crowded.select(key), key, "left_anti").join(table.where(~hot), key)
+    return rows.join(crowded, key).unionByName(rest)
