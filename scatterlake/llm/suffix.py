@@ -46,7 +46,9 @@ SPAN = WINDOW - GRAM + 1
 CONTEXTS = 2000
 #: Context bytes for which one suffix array is built at a time.
 ARRAY_BYTES = 1 << 20
-_POSITION = np.uint64((1 << 30) - 1)
+#: Windows of a text that are judged together; the next ones start where these end, so the size changes no result.
+PART = 1 << 20
+_POSITION = np.uint64((1 << 31) - 1)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -176,9 +178,12 @@ def _scan(batches):
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         parts = []
-        for lo, _, buf, offs in textops.slices(batch.column("text")):
-            h, c, text, start, count = contexts(buf, offs)
-            parts.append((h, c, ids[lo + text], start, count))
+        for lo, hi, buf, offs in textops.slices(batch.column("text")):
+            step = PART if hi - lo == 1 else max(1, len(buf))
+            for a in range(0, len(buf) - WINDOW + 1, step):  # a long text goes in parts that share WINDOW - 1 bytes
+                sub = buf[a : a + step + WINDOW - 1]
+                h, c, text, start, count = contexts(sub, np.minimum(offs, len(sub)) if hi - lo == 1 else offs)
+                parts.append((h, c, ids[lo + text], start + a, count))
         if not parts:
             continue
         h, c, doc, start, count = map(np.concatenate, zip(*parts, strict=True))

@@ -64,6 +64,25 @@ def test_matches_definition(spark, tmp_path, monkeypatch, held):
     assert got == expected(texts)
 
 
+def test_long_texts_go_in_parts(spark, tmp_path, monkeypatch):
+    texts = fixture(11)
+    monkeypatch.setattr(textops.slices, "__defaults__", (1, False))
+    parts, whole = [], []
+    for out, size in ((parts, 50), (whole, 1 << 20)):
+        monkeypatch.setattr(suffix, "PART", size)
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in texts]), pa.array([t for _, t in texts])], names=["doc_id", "text"])
+        for found in suffix._scan([batch]):
+            for r in found.to_pylist():
+                if r["p"] % 256:
+                    out.extend((r["doc_id"], (r["p"] >> 8) + k) for k in range(r["p"] % 256))
+                else:
+                    out.extend((r["doc_id"], k) for k in range(r["p"] >> 8, r["c"] - 99))
+    every = {(d, s) for d, t in texts for s in range(len((t or "").encode()) - 99)}
+    assert set(parts) == every == set(whole)
+
+
 def test_repeated_rows_and_nulls(spark):
     long = "x1 y2 " * 3 + " ".join(map(str, range(200)))
     rows = [(1, long), (1, long), (2, long), (None, long), (3, None)]
