@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,7 +84,8 @@ def nearest(queries: DataFrame, known: DataFrame, size: float) -> DataFrame:
         d2 = F.pow(F.col("qx") - F.col("kx"), 2) + F.pow(F.col("qy") - F.col("ky"), 2)
         best = asked.join(there, ["bx", "by"]).groupBy("query_id").agg(F.min(F.struct(d2.alias("d2"), "known_id")).alias("m")).select("query_id", F.col("m.known_id").alias("known_id"), F.col("m.d2").alias("d2")).where(F.col("d2") <= width * width)
         out = best if out is None else out.unionByName(best)
-        left = left.join(best.select("query_id"), "query_id", "left_anti")
+        # kept for the next rounds, or every one would run all before it again
+        left = left.join(best.select("query_id"), "query_id", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
         if left.isEmpty():
             return out
         width *= 2
