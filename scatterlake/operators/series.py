@@ -94,3 +94,18 @@ def mean_velocity(series: DataFrame, ifgs: DataFrame, value: str) -> DataFrame:
     joined = series.join(F.broadcast(ifgs.select("ifg_ix", "day", "std_deg")), "ifg_ix")
     w = 1 / F.pow(F.col("std_deg") * RADIANS, 2)
     return joined.groupBy("ps_id").agg(*[c.alias(n) for n, c in line(F.col("day"), F.col(value), w).items()])
+
+
+def deramp_dates(params, n_ifg: int) -> list[int]:
+    """One-based dates to deramp: 'all', none, or a list that must lie inside the stack."""
+    value = params.values.get("scn_deramp_ifg", "")
+    if isinstance(value, str):
+        if value.strip().lower() == "all":
+            return list(range(1, n_ifg + 1))
+        if value.strip():
+            raise ValueError(f"scn_deramp_ifg is all, empty or a list, not {value}")
+        return []
+    dates = [i + 1 for i in params.indices("scn_deramp_ifg")]
+    if any(i > n_ifg for i in dates):
+        raise ValueError("scn_deramp_ifg names a date outside the stack")
+    return dates

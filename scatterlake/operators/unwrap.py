@@ -63,21 +63,23 @@ def offsets(steps: DataFrame) -> DataFrame:
     return steps.withColumn("offset", half_even(away * F.col("sign") * CYCLE / TAU).cast("int"))
 
 
-def residues(deltas: DataFrame) -> DataFrame:
-    """Loop sums top + right - bottom - left of rounded cycle steps (row, col, right, down) per 2 x 2 cells."""
-    d = deltas.select("row", "col", half_away(F.col("right")).alias("r"), half_away(F.col("down")).alias("d"))
-    below = d.select((F.col("row") - 1).alias("row"), "col", F.col("r").alias("bottom"))
-    beside = d.select("row", (F.col("col") - 1).alias("col"), F.col("d").alias("beside"))
-    joined = d.join(below, ["row", "col"]).join(beside, ["row", "col"])
-    return joined.select("row", "col", F.coalesce(F.col("r") + F.col("beside") - F.col("bottom") - F.col("d"), F.lit(0.0)).cast("int").alias("residue"))
-
-
-def neighbour_msd(cells: DataFrame, value: str = "uw") -> DataFrame:
-    """Mean squared non-zero difference between neighbouring cells (row, col)."""
-    v = cells.where(F.col(value) != 0).select("row", "col", F.col(value).alias("v"))
-    right, below = v.select("row", (F.col("col") - 1).alias("col"), F.col("v").alias("w")), v.select((F.col("row") - 1).alias("row"), "col", F.col("v").alias("w"))
-    pairs = v.join(right, ["row", "col"]).unionByName(v.join(below, ["row", "col"]))
-    return pairs.agg(F.avg(F.when(F.col("v") != F.col("w"), F.pow(F.col("v") - F.col("w"), 2))).alias("msd"))
+def residues(deltas: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Loop sums top + right - bottom - left of rounded cycle steps (keys, row, col, right, down) per 2 x 2 cells."""
+    k = keys or []
+    d = deltas.select(*k, "row", "col", half_away(F.col("right")).alias("r"), half_away(F.col("down")).alias("d"))
+    below = d.select(*k, (F.col("row") - 1).alias("row"), "col", F.col("r").alias("bottom"))
+    beside = d.select(*k, "row", (F.col("col") - 1).alias("col"), F.col("d").alias("beside"))
+    joined = d.join(below, [*k, "row", "col"]).join(beside, [*k, "row", "col"])
+    return joined.select(*k, "row", "col", F.coalesce(F.col("r") + F.col("beside") - F.col("bottom") - F.col("d"), F.lit(0.0)).cast("int").alias("residue"))
+
+
+def neighbour_msd(cells: DataFrame, value: str = "uw", keys: list[str] | None = None) -> DataFrame:
+    """Mean squared non-zero difference between neighbouring cells (keys, row, col)."""
+    k = keys or []
+    v = cells.where(F.col(value) != 0).select(*k, "row", "col", F.col(value).alias("v"))
+    right, below = v.select(*k, "row", (F.col("col") - 1).alias("col"), F.col("v").alias("w")), v.select(*k, (F.col("row") - 1).alias("row"), "col", F.col("v").alias("w"))
+    pairs = v.join(right, [*k, "row", "col"]).unionByName(v.join(below, [*k, "row", "col"]))
+    return pairs.groupBy(*k).agg(F.avg(F.when(F.col("v") != F.col("w"), F.pow(F.col("v") - F.col("w"), 2))).alias("msd"))
 
 
 class Field:

@@ -195,3 +195,20 @@ def edge_noise(edge: DataFrame, ifgs: DataFrame, window: float = 730.0) -> DataF
         return pd.DataFrame({"edge_id": p["edge_id"], "a": p["a"], "b": p["b"], "std": noise.std(axis=1, ddof=1), "top": np.abs(noise).max(axis=1)})
 
     return flat.groupBy("patch_id").applyInPandas(run, "edge_id long, a long, b long, std double, top double")
+
+
+def baseline_free_noise(edge: DataFrame, ifgs: DataFrame) -> DataFrame:
+    """(edge_id, std, top) of the angle that the edge's complex slope on the baseline leaves.
+
+    The slope weights dates by the inverse variance over edges; dates are a table the
+    size of the stack and their variances join by broadcast. Two shuffles: by date with
+    partial sums, and by edge.
+    """
+    dates = date_variance(edge).join(ifgs.select("ifg_ix", "bperp"), "ifg_ix").select("ifg_ix", "bperp", F.when(F.col("var") > 0, 1 / F.col("var")).otherwise(0.0).alias("w"))
+    joined = edge.join(F.broadcast(dates), "ifg_ix")
+    per = W.partitionBy("edge_id")
+    below = F.sum(F.col("w") * F.col("bperp") * F.col("bperp")).over(per)
+    slope = {c: F.try_divide(F.sum(F.col("w") * F.col("bperp") * F.col(c)).over(per), below) for c in ("re", "im")}
+    rest = joined.withColumns({"sr": slope["re"], "si": slope["im"]})
+    angle = F.atan2(F.col("im") - F.col("si") * F.col("bperp"), F.col("re") - F.col("sr") * F.col("bperp"))
+    return rest.withColumn("angle", angle).groupBy("edge_id").agg(F.stddev_samp("angle").alias("std"), F.max(F.abs("angle")).alias("top"))

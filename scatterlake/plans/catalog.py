@@ -392,12 +392,12 @@ def j2(spark, sf):
     return X.points(spark, sf).drop("coh").join(X.fits(spark, sf).where("coh > 0.4"), "ps_id").select("ps_id", r("k"), r("x"))
 
 
-NEAR = "known AS (SELECT ps_id AS known_id, x AS kx, y AS ky FROM points WHERE ps_id % 9 = 0), ask AS (SELECT ps_id AS query_id, x AS qx, y AS qy FROM points), best AS (SELECT query_id, known_id, power(qx - kx, 2) + power(qy - ky, 2) AS d2 FROM ask, known QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d2, known_id) = 1)"
+NEAR = "known AS (SELECT ps_id AS known_id, x AS kx, y AS ky FROM points WHERE d_a < 0.24), ask AS (SELECT ps_id AS query_id, x AS qx, y AS qy FROM points), best AS (SELECT query_id, known_id, power(qx - kx, 2) + power(qy - ky, 2) AS d2 FROM ask, known QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d2, known_id) = 1)"
 
 
 def nearest(spark, sf):
     p = X.points(spark, sf)
-    known = p.where("ps_id % 9 = 0").select(F.col("ps_id").alias("known_id"), F.col("x").alias("kx"), F.col("y").alias("ky"))
+    known = p.where("d_a < 0.24").select(F.col("ps_id").alias("known_id"), F.col("x").alias("kx"), F.col("y").alias("ky"))
     return grid.nearest(p.select(F.col("ps_id").alias("query_id"), F.col("x").alias("qx"), F.col("y").alias("qy")), known, 80.0)
 
 
@@ -532,4 +532,4 @@ def a12(spark, sf):
 
 table_of = X.table
 
-from scatterlake.plans import catalog_scene  # noqa: E402, F401  its queries register themselves here
+from scatterlake.plans import catalog_io, catalog_scene  # noqa: E402, F401  their queries register themselves here

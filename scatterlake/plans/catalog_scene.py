@@ -345,21 +345,21 @@ def x25(spark, sf):
     return j.select("edge_id", "ifg_ix", r(unwrap.wanted_cycles(3 * F.col("p"), 3 * F.col("w")), "cycles"))
 
 
-LOOP = f'st AS (SELECT p."row", p.col, round((3 * p.v + {wrap_sql("3 * e.v - 3 * p.v")} - 3 * e.v) / {TAU}) AS rt, round((3 * p.v + {wrap_sql("3 * s.v - 3 * p.v")} - 3 * s.v) / {TAU}) AS dn FROM gv p LEFT JOIN gv e ON e."row" = p."row" AND e.col = p.col + 1 LEFT JOIN gv s ON s."row" = p."row" + 1 AND s.col = p.col)'
-GV = 'gv AS (SELECT "row", col, angle AS v FROM points JOIN angles USING (ps_id) WHERE ifg_ix = 2)'
+LOOP = f'st AS (SELECT p.ifg_ix, p."row", p.col, round((3 * p.v + {wrap_sql("3 * e.v - 3 * p.v")} - 3 * e.v) / {TAU}) AS rt, round((3 * p.v + {wrap_sql("3 * s.v - 3 * p.v")} - 3 * s.v) / {TAU}) AS dn FROM gv p LEFT JOIN gv e ON e.ifg_ix = p.ifg_ix AND e."row" = p."row" AND e.col = p.col + 1 LEFT JOIN gv s ON s.ifg_ix = p.ifg_ix AND s."row" = p."row" + 1 AND s.col = p.col)'
+GV = 'gv AS (SELECT ifg_ix, "row", col, angle AS v FROM points JOIN angles USING (ps_id))'
 
 
 def steps(spark, sf):
-    g = X.points(spark, sf).join(X.angles(spark, sf).where("ifg_ix = 2"), "ps_id").select("row", "col", (3 * F.col("angle")).alias("v"))
-    e = g.select("row", (F.col("col") - 1).alias("col"), F.col("v").alias("e"))
-    s = g.select((F.col("row") - 1).alias("row"), "col", F.col("v").alias("s"))
-    j = g.join(e, ["row", "col"], "left").join(s, ["row", "col"], "left")
-    return j.select("row", "col", unwrap.wanted_cycles(F.col("v"), F.col("e")).alias("right"), unwrap.wanted_cycles(F.col("v"), F.col("s")).alias("down"))
+    g = X.points(spark, sf).join(X.angles(spark, sf), "ps_id").select("ifg_ix", "row", "col", (3 * F.col("angle")).alias("v"))
+    e = g.select("ifg_ix", "row", (F.col("col") - 1).alias("col"), F.col("v").alias("e"))
+    s = g.select("ifg_ix", (F.col("row") - 1).alias("row"), "col", F.col("v").alias("s"))
+    j = g.join(e, ["ifg_ix", "row", "col"], "left").join(s, ["ifg_ix", "row", "col"], "left")
+    return j.select("ifg_ix", "row", "col", unwrap.wanted_cycles(F.col("v"), F.col("e")).alias("right"), unwrap.wanted_cycles(F.col("v"), F.col("s")).alias("down"))
 
 
-@query("x24_residues", f'WITH {GV}, {LOOP} SELECT a."row"::BIGINT AS "row", a.col::BIGINT AS col, coalesce(a.rt + b.dn - c.rt - a.dn, 0)::BIGINT AS residue FROM st a JOIN st b ON b."row" = a."row" AND b.col = a.col + 1 JOIN st c ON c."row" = a."row" + 1 AND c.col = a.col')
+@query("x24_residues", f'WITH {GV}, {LOOP} SELECT a.ifg_ix, a."row"::BIGINT AS "row", a.col::BIGINT AS col, coalesce(a.rt + b.dn - c.rt - a.dn, 0)::BIGINT AS residue FROM st a JOIN st b ON b.ifg_ix = a.ifg_ix AND b."row" = a."row" AND b.col = a.col + 1 JOIN st c ON c.ifg_ix = a.ifg_ix AND c."row" = a."row" + 1 AND c.col = a.col')
 def x24(spark, sf):
-    return unwrap.residues(steps(spark, sf)).select(long("row"), long("col"), long("residue"))
+    return unwrap.residues(steps(spark, sf), ["ifg_ix"]).select("ifg_ix", long("row"), long("col"), long("residue"))
 
 
 @query("x26_edge_variance", f"WITH {EDGE}, us AS (SELECT edge_id, edge_id % 4 AS uses FROM edges) SELECT edge_id, uses::BIGINT AS uses, greatest(least(round_even(power(stddev_samp(noise) / {TAU}, 2) * 200 * 200 / 100 * uses, 0), 32767), 1)::BIGINT AS sigsq FROM noise JOIN us USING (edge_id) GROUP BY edge_id, uses")
@@ -388,15 +388,15 @@ def a34(spark, sf):
     return s.groupBy(F.abs("s").alias("edge_id")).agg(F.count("*").alias("n"))
 
 
-@query("a22_neighbour_msd", f'WITH {GV} SELECT {q("avg(power(p.v - n.v, 2)) FILTER (p.v <> n.v)", "msd")} FROM gv p JOIN gv n ON (n."row" = p."row" AND n.col = p.col + 1) OR (n."row" = p."row" + 1 AND n.col = p.col) WHERE p.v <> 0 AND n.v <> 0')
+@query("a22_neighbour_msd", f'WITH {GV} SELECT p.ifg_ix, {q("avg(power(p.v - n.v, 2)) FILTER (p.v <> n.v)", "msd")} FROM gv p JOIN gv n ON n.ifg_ix = p.ifg_ix AND ((n."row" = p."row" AND n.col = p.col + 1) OR (n."row" = p."row" + 1 AND n.col = p.col)) WHERE p.v <> 0 AND n.v <> 0 GROUP BY p.ifg_ix')
 def a22(spark, sf):
-    g = X.points(spark, sf).join(X.angles(spark, sf).where("ifg_ix = 2"), "ps_id").select("row", "col", F.col("angle").alias("uw"))
-    return unwrap.neighbour_msd(g).select(r("msd"))
+    g = X.points(spark, sf).join(X.angles(spark, sf), "ps_id").select("ifg_ix", "row", "col", F.col("angle").alias("uw"))
+    return unwrap.neighbour_msd(g, "uw", ["ifg_ix"]).select("ifg_ix", r("msd"))
 
 
 def cells_of(spark, sf, size=200.0):
     placed = grid.cells(X.points(spark, sf).withColumn("patch_id", F.lit(1)), size, 1e-3)
-    return placed, grid.accumulate(X.phase(spark, sf).where("ifg_ix <= 4"), placed)
+    return placed, grid.accumulate(X.phase(spark, sf), placed)
 
 
 @query("h12_unwrap")
@@ -444,19 +444,19 @@ def x13(spark, sf):
 
 @query("h9_without_own_cell")
 def h9(spark, sf):
-    """Each point's cell refiltered in its window without the point; the grid of a patch is its group."""
+    """Each point's cell refiltered in its window without the point; a patch and a date are a group."""
     placed, cells = cells_of(spark, sf, 50.0)
-    own = X.phase(spark, sf).where("ifg_ix = 2").join(placed.select("ps_id", "patch_id", "gi", "gj"), "ps_id")
-    both = cells.where("ifg_ix = 2").select("patch_id", F.lit(None).cast("long").alias("ps_id"), "gi", "gj", "re", "im").unionByName(own.select("patch_id", "ps_id", "gi", "gj", "re", "im"))
+    own = X.phase(spark, sf).join(placed.select("ps_id", "patch_id", "gi", "gj"), "ps_id")
+    both = cells.select("patch_id", "ifg_ix", F.lit(None).cast("long").alias("ps_id"), "gi", "gj", "re", "im").unionByName(own.select("patch_id", "ifg_ix", "ps_id", "gi", "gj", "re", "im"))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         c, o = p[p["ps_id"].isna()], p[p["ps_id"].notna()]
         g = np.zeros((max(8, int(p["gi"].max()) + 1), max(8, int(p["gj"].max()) + 1)), complex)
         g[c["gi"], c["gj"]] = c["re"] + 1j * c["im"]
         z = [spectral.without_own_cell(g, complex(a, b), (int(i), int(j)), 8) for a, b, i, j in zip(o["re"], o["im"], o["gi"], o["gj"], strict=True)]
-        return pd.DataFrame({"ps_id": o["ps_id"].astype(int), "re": [x.real for x in z], "im": [x.imag for x in z]})
+        return pd.DataFrame({"ps_id": o["ps_id"].astype(int), "ifg_ix": o["ifg_ix"], "re": [x.real for x in z], "im": [x.imag for x in z]})
 
-    return both.groupBy("patch_id").applyInPandas(run, "ps_id long, re double, im double")
+    return both.groupBy("patch_id", "ifg_ix").applyInPandas(run, "ps_id long, ifg_ix long, re double, im double")
 
 
 # ---------------------------------------------------------------- verification and diagnostics

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scatterlake.functions.phase import wrap
 
-IFGS, MASTER = 16, 6
+IFGS, MASTER = 64, 6
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def ifgs(spark: SparkSession) -> DataFrame:
-    """16 dates about 12 days apart, baselines, the 6th the master."""
+    """64 dates about 12 days apart, baselines, the 6th the master."""
     rows = [(i, 12.0 * i + i % 3, float(i * 37 % 101 - 50), i == MASTER, 20.0 + i) for i in range(1, IFGS + 1)]
     return spark.createDataFrame(rows, "ifg_ix long, day double, bperp double, is_master boolean, std_deg double")
 
@@ -40,7 +40,7 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def angles(spark: SparkSession, sf: str) -> DataFrame:
-    """(ps_id, ifg_ix, angle) long: wrapped ten times the first components."""
+    """(ps_id, ifg_ix, angle) long: wrapped ten times the components."""
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("ps_id"), F.posexplode(F.slice("embedding", 1, IFGS)).alias("p", "e"))
     return rows.select("ps_id", (F.col("p") + 1).cast("long").alias("ifg_ix"), wrap(10.0 * F.col("e").cast("double")).alias("angle"))
 
