@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scatterlake.llm.tables import BROADCAST_ROWS, checkpoint, small, table
+from scatterlake.llm.tables import BROADCAST_ROWS, checkpoint, fresh, small, table
 
 THRESHOLD, SKETCH, SHINGLE = 0.8, 24, 5
 _SEPARATOR = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
@@ -79,8 +79,9 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_leaked(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a test item go; rows without doc_id stay."""
     found = contained(documents.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    leaked = checkpoint(found.select(F.col("doc_id").alias("leaked_id")).distinct())
-    return documents.join(small(leaked), F.col("doc_id") == F.col("leaked_id"), "left_anti")
+    (key,) = fresh(documents, "leaked_id")
+    leaked = checkpoint(found.select(F.col("doc_id").alias(key)).distinct())
+    return documents.join(small(leaked), F.col("doc_id") == F.col(key), "left_anti")
 
 
 ORACLE = r"""

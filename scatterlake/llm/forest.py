@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scatterlake.llm import similar, textops
-from scatterlake.llm.tables import checkpoint, join_counted, small, table
+from scatterlake.llm.tables import checkpoint, fresh, join_counted, small, table
 
 TREES, LABEL, RECALL = 20, 6, 0.999
 
@@ -101,13 +101,14 @@ def op6_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of every class the document with the least doc_id stays, once; rows without doc_id stay."""
     judged = checkpoint(join_classes(documents.select("doc_id", "text")))
-    gone = checkpoint(judged.where("doc_id != class_id").select(F.col("doc_id").alias("gone_id")).distinct())
-    stay = documents.join(small(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    again = checkpoint(judged.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_id")))
+    (key,) = fresh(documents, "judged_doc_id")
+    gone = checkpoint(judged.where("doc_id != class_id").select(F.col("doc_id").alias(key)).distinct())
+    stay = documents.join(small(gone), F.col("doc_id") == F.col(key), "left_anti")
+    again = checkpoint(judged.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key)))
     if again.isEmpty():
         return stay
-    once = stay.join(small(again), F.col("doc_id") == F.col("again_id"), "left_semi").dropDuplicates(["doc_id"])
-    return stay.join(small(again), F.col("doc_id") == F.col("again_id"), "left_anti").unionByName(once)
+    once = stay.join(small(again), F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id"])
+    return stay.join(small(again), F.col("doc_id") == F.col(key), "left_anti").unionByName(once)
 
 
 ORACLE = similar.oracle(

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from scatterlake.llm import similar, textops
 from scatterlake.llm.forest import distinct_sets
-from scatterlake.llm.tables import checkpoint, small, table
+from scatterlake.llm.tables import checkpoint, fresh, small, table
 
 LEAST_WORDS, ROWS, RECALL = 40, 4, 0.995
 
@@ -122,10 +122,11 @@ def repeated(documents: DataFrame) -> DataFrame:
 
 def without_repeats(documents: DataFrame) -> DataFrame:
     """The documents without the lines that repeat an earlier paragraph; all rows and columns stay."""
-    gone = checkpoint(repeated(documents).where("removed").groupBy(F.col("doc_id").alias("cut_doc_id")).agg(F.collect_set(F.col("line").cast("int")).alias("cut_lines")))
-    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("cut_lines", i))
-    joined = documents.join(small(gone), F.col("doc_id") == F.col("cut_doc_id"), "left")
-    return joined.withColumn("text", F.when(F.col("cut_lines").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))).select(*documents.columns)
+    key, name = fresh(documents, "cut_doc_id", "cut_lines")
+    gone = checkpoint(repeated(documents).where("removed").groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.col("line").cast("int")).alias(name)))
+    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(name), i))
+    joined = documents.join(small(gone), F.col("doc_id") == F.col(key), "left")
+    return joined.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))).select(*documents.columns)
 
 
 def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scatterlake.llm import textops
-from scatterlake.llm.tables import partitions, table
+from scatterlake.llm.tables import fresh, partitions, table
 
 WINDOW, GRAM = 100, 24
 SPAN = WINDOW - GRAM + 1
@@ -356,9 +356,10 @@ def removed_spans(documents: DataFrame, contexts_held: int = CONTEXTS) -> DataFr
 
 
 def with_spans(documents: DataFrame) -> DataFrame:
-    """Every row of documents with its spans (null: none)."""
-    spans = removed_spans(documents).withColumnRenamed("doc_id", "span_doc_id").withColumnRenamed("spans", "removed_spans")
-    return documents.join(spans, F.col("doc_id") == F.col("span_doc_id"), "left").drop("span_doc_id")
+    """Every row of documents with its spans in one more column, the last (null: none)."""
+    key, name = fresh(documents, "span_doc_id", "removed_spans")
+    spans = removed_spans(documents).select(F.col("doc_id").alias(key), F.col("spans").alias(name))
+    return documents.join(spans, F.col("doc_id") == F.col(key), "left").drop(key)
 
 
 def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -370,8 +371,8 @@ def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _by_row(batch):
-    """Row number, bytes and merged, clipped spans of every row."""
-    at, (s, e) = _lists(batch.column("removed_spans"))
+    """Row number, bytes and merged, clipped spans of every row; the spans stand in the last column."""
+    at, (s, e) = _lists(batch.column(batch.num_columns - 1))
     o, s, e = merge(textops.segments(at), s, e)
     bounds = np.searchsorted(o, np.arange(batch.num_rows + 1))
     s, e = s.tolist(), e.tolist()

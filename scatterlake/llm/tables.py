@@ -47,3 +47,14 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, share:
     crowded = F.broadcast(table.where(hot))
     rest = rows.join(crowded.select(key), key, "left_anti").join(table.where(~hot), key)
     return rows.join(crowded, key).unionByName(rest)
+
+
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind those that a column of the frame already has."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
