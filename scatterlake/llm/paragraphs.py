@@ -11,6 +11,16 @@ same words in the same order are copies, whatever their case and punctuation;
 rows with null doc_id take no part; a repeated row's paragraphs are the same
 paragraphs, not copies; extra columns are ignored; an empty table gives an
 empty result.
+
+``passages`` has no such floor. It judges every line of five words and more
+against every other (kind 0), and every paragraph against every other (kind 1):
+a paragraph is a line of ``LEAST_WORDS`` words and more, or all consecutive
+shorter lines with words, joined, so that a wrapped text meets the same text on
+one line or wrapped elsewhere. Lines are not compared with paragraphs, for a
+paragraph would be a near copy of its own longest line. Recall, threshold,
+classes and defined results are those above. A text that is wrapped otherwise
+and stands among other short lines without a blank line is no paragraph of its
+own; ``suffix`` finds it.
 """
 
 from __future__ import annotations
@@ -24,7 +34,7 @@ from pyspark.sql import functions as F
 
 from scatterlake.llm import similar, textops
 from scatterlake.llm.forest import distinct_sets
-from scatterlake.llm.tables import checkpoint, fresh, small, table
+from scatterlake.llm.tables import checkpoint, fresh, join_counted, small, table
 
 LEAST_WORDS, ROWS, RECALL = 40, 4, 0.995
 
@@ -120,6 +130,109 @@ def repeated(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line", "n_words", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line").alias("class_line"), "n_links", "n_copies", (place != F.col("first")).alias("removed"))
 
 
+def _units(buf: np.ndarray, offs: np.ndarray):
+    """Lines and paragraphs: for each kind the offsets, the text, the first line and the number of lines."""
+    at, text, line = paragraphs(buf, offs)
+    n = np.diff(textops.word_hashes(buf, at)[1])
+    short = (n > 0) & (n < LEAST_WORDS)
+    start = np.ones(len(n), bool)
+    start[1:] = ~(short[1:] & short[:-1] & (text[1:] == text[:-1]))
+    first = np.flatnonzero(start)
+    joined = np.append(at[first], at[-1])
+    return (at, text, line, np.ones(len(n), np.int64)), (joined, text[first], line[first], np.diff(np.append(first, len(n))))
+
+
+def _scan_passages(count: int = 0):
+    """Where each line and paragraph stands, with a signature if count is given."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            parts, sigs = [], []
+            for lo, _, buf, offs in textops.slices(batch.column("text"), lower=True):
+                for kind, (at, text, line, lines) in enumerate(_units(buf, offs)):
+                    n_words = np.diff(textops.word_hashes(buf, at)[1])
+                    keep = n_words >= textops.SHINGLE_WORDS
+                    if not keep.any():
+                        continue
+                    values, cut = textops.shingles(buf, at)
+                    size = np.diff(cut)
+                    values, cut = values[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])])
+                    node = textops.keyed(_identity(values, cut).view(np.uint64), kind).view(np.int64)
+                    parts.append((ids[lo + text[keep]], np.full(len(node), kind), line[keep], lines[keep], node, size[keep]))
+                    if not count:
+                        continue
+                    _, which, back = np.unique(node, return_index=True, return_inverse=True)
+                    own = np.zeros(len(node), bool)
+                    own[which] = True
+                    sig = similar.signatures(values[np.repeat(own, size[keep])], np.concatenate([[0], np.cumsum(size[keep][own])]), count * ROWS)
+                    sig = sig[(np.cumsum(own) - 1)[which[back]]]
+                    sigs.extend(x.tobytes() for x in sig)
+            if parts:
+                columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts, strict=True)]
+                names = ["doc_id", "kind", "line", "n_lines", "node", "size", "sig"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sigs, pa.binary())] if count else columns, names=names if count else names[:-1])
+
+    return run
+
+
+def _keys(count: int):
+    """Adds the band keys to nodes, apart for each kind."""
+
+    def run(batches):
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, count * ROWS)
+            kind = batch.column("kind").to_numpy(zero_copy_only=False).astype(np.uint64)
+            keys = textops.mix(similar.band_keys(sig, ROWS, ROWS) + kind[:, None]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * count), pa.array(keys.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("size"), batch.column("sig"), lists], names=["node", "size", "sig", "keys"])
+
+    return run
+
+
+def _fetch_passages(batches):
+    """Shingle sets of the wanted lines and paragraphs of each text."""
+    for batch in batches:
+        nodes, sets = [], []
+        wanted = batch.column("wanted").to_pylist()
+        for lo, hi, buf, offs in textops.slices(batch.column("text"), lower=True):
+            for kind, (at, text, line, _) in enumerate(_units(buf, offs)):
+                values, cut = distinct_sets(buf, at)
+                where = {(t, n): k for k, (t, n) in enumerate(zip(text.tolist(), line.tolist(), strict=True))}
+                for t in range(hi - lo):
+                    for x in wanted[lo + t]:
+                        k = where.get((t, x["line"])) if x["kind"] == kind else None
+                        if k is not None:
+                            nodes.append(x["node"])
+                            sets.append(values[cut[k] : cut[k + 1]].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+
+
+def passages(documents: DataFrame) -> DataFrame:
+    """Every line and paragraph of five words and more that has a copy or a near copy; kind, n_lines and the columns of repeated."""
+    texts = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    count = bands()
+    columns = "doc_id long, kind long, line long, n_lines long, node long, size long"
+    scanned = texts.mapInArrow(_scan_passages(count), f"{columns}, sig binary")
+    place = F.struct("doc_id", "line", "n_lines")
+    nodes = checkpoint(scanned.groupBy("node").agg(F.min("kind").alias("kind"), F.min(place).alias("rep"), F.max(place).alias("last"), F.count("*").alias("n_copies"), F.min(F.struct("size", "sig")).alias("x")).select("node", "kind", "rep", "last", "n_copies", "x.*"))
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        units = wanted.join(nodes.select("node", "kind", "rep"), "node").select(F.col("rep.doc_id").alias("doc_id"), F.struct(F.col("rep.line").alias("line"), "kind", "node").alias("one"))
+        by_doc = checkpoint(units.groupBy("doc_id").agg(F.collect_list("one").alias("wanted")))
+        return texts.join(small(by_doc), "doc_id").select("text", "wanted").mapInArrow(_fetch_passages, "node long, set binary")
+
+    keyed = nodes.select("node", "kind", "size", "sig").mapInArrow(_keys(count), "node long, size long, sig binary, keys array<long>")
+    linked = checkpoint(similar.similar_classes(keyed, fetch, count * ROWS, once=True))
+    of_class = linked.join(nodes.select("node", "rep"), "node").groupBy("class_node").agg(F.min("rep").alias("first"))
+    classes = linked.join(of_class, "class_node").select("node", "first", "n_links")
+    judged = nodes.select("node", "rep", "last", "n_copies").join(classes, "node", "left").where("n_links > 0 or rep != last")
+    judged = checkpoint(judged.select("node", F.coalesce("first", "rep").alias("first"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies"))
+    rows = texts.mapInArrow(_scan_passages(), columns).select("doc_id", "kind", "line", "n_lines", "node", (F.col("size") + textops.SHINGLE_WORDS - 1).alias("n_words"))
+    found = join_counted(rows, judged, "node", "n_copies")
+    return found.select("doc_id", "kind", "line", "n_lines", "n_words", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line").alias("class_line"), "n_links", "n_copies", (place != F.col("first")).alias("removed"))
+
+
 def without_repeats(documents: DataFrame) -> DataFrame:
     """The documents without the lines that repeat an earlier paragraph; all rows and columns stay."""
     key, name = fresh(documents, "cut_doc_id", "cut_lines")
@@ -133,6 +246,10 @@ def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated(table(spark, sf_dir, "documents"))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(table(spark, sf_dir, "documents"))
+
+
 ORACLE = similar.oracle(
     f"lines AS (SELECT doc_id, unnest(range(len(p))) AS line, unnest(p) AS t FROM (SELECT DISTINCT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents WHERE doc_id IS NOT NULL)), "
     f"long AS (SELECT doc_id, line, w, array_to_string(w, ' ') AS node FROM (SELECT doc_id, line, {similar.WORDS.format('t')} AS w FROM lines) WHERE len(w) >= {LEAST_WORDS}), "

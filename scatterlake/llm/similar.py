@@ -198,16 +198,17 @@ def _block_pairs(frame: DataFrame, key: str, blocks) -> DataFrame:
     return other.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).withColumn("unit", F.xxhash64(key, "i", "j"))
 
 
-def similar_classes(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], signature: int, threshold: float = THRESHOLD) -> DataFrame:
+def similar_classes(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], signature: int, threshold: float = THRESHOLD, once: bool = False) -> DataFrame:
     """Links and classes among nodes (node, size, sig, keys), already checkpointed.
 
-    fetch gets a table with the column node and returns (node, set), the nodes' shingles.
+    once says that no node has two rows, which saves a shuffle of the keys. fetch gets a table with the column node and returns (node, set), the nodes' shingles.
     Returns (node, class_node, n_links) of the nodes that have links.
     """
     spread = (threshold * (1 - threshold) / signature) ** 0.5
     least = int(np.floor(signature * (threshold - 4.5 * spread)))
     parts = partitions(nodes)
-    buckets = nodes.where("size > 0").select("node", F.explode("keys").alias("key")).distinct()
+    buckets = nodes.where("size > 0").select("node", F.explode("keys").alias("key"))
+    buckets = buckets if once else buckets.distinct()
     crowded = buckets.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1")
     dealt = _block_pairs(crowded, "key", F.ceil(F.col("n") / BLOCK_NODES)).select("unit", "node")
     units = dealt.join(nodes.select("node", "sig"), "node").select("unit", "node", "sig").repartition(parts, "unit").sortWithinPartitions("unit", "node")

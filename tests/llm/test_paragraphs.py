@@ -63,3 +63,55 @@ def test_empty(spark):
 def test_bands_reach_the_recall():
     n = paragraphs.bands()
     assert 1 - (1 - 0.8**paragraphs.ROWS) ** n >= paragraphs.RECALL > 1 - (1 - 0.8**paragraphs.ROWS) ** (n - 1)
+
+
+def units(text):
+    """(kind, first line, lines, words) of every line and paragraph."""
+    split = [words(x) for x in (text or "").split("\n")]
+    out, run = [(0, k, 1, w) for k, w in enumerate(split)], []
+    for k, w in enumerate([*split, ()]):
+        if 0 < len(w) < paragraphs.LEAST_WORDS:
+            run.append(k)
+            continue
+        if run:
+            out.append((1, run[0], len(run), sum((split[j] for j in run), ())))
+        run = []
+        if w:
+            out.append((1, k, 1, w))
+    return [x for x in out if len(x[3]) >= 5]
+
+
+def expected_passages(docs):
+    places = {}
+    for d, t in docs:
+        for kind, k, n, w in units(t) if d is not None else []:
+            places.setdefault((kind, w), []).append((d, k, n))
+    keys = list(places)
+    grams = [sets(b" ".join(w).decode()) for _, w in keys]
+    near = [[j for j in range(len(keys)) if j != i and keys[i][0] == keys[j][0] and jaccard(grams[i], grams[j]) >= 0.8] for i in range(len(keys))]
+    label = list(range(len(keys)))
+    for _ in keys:
+        for i in range(len(keys)):
+            label[i] = min([label[i], *(label[j] for j in near[i])])
+    out = []
+    for i, (kind, w) in enumerate(keys):
+        first = min(p for j in range(len(keys)) if label[j] == label[i] for p in places[keys[j]])
+        if near[i] or len(set(places[kind, w])) > 1:
+            out += [(d, kind, k, n, len(w), *first[:2], len(near[i]), len(places[kind, w]), (d, k, n) != first) for d, k, n in places[kind, w]]
+    return sorted(out)
+
+
+def test_short_lines_and_wrapped_passages(spark):
+    rnd = random.Random(8)
+    passage = [f"p{k}" for k in range(60)]
+    wrap = lambda n: "\n".join(" ".join(passage[i : i + n]) for i in range(0, 60, n))
+    docs = [(200, "all rights are reserved here"), (201, "x\nAll rights are reserved here.\ny"), (202, "one two three four"), (203, "one two three four")]
+    docs += [(300, " ".join(passage)), (301, "\n" + wrap(10) + "\n\nend"), (302, "start\n\n" + wrap(7)), (303, "a b c d e f g h\n" + "i j\n" * 2)]
+    docs += [(d, t) for d, t in fixture() if d is None or d < 30 or d > 90]
+    frame = spark.createDataFrame([(d, t, 1, "s") for d, t in docs], "doc_id long, text string, kind int, node string").repartition(4)
+    got = sorted(tuple(r) for r in paragraphs.passages(frame).collect())
+    assert got == expected_passages(docs)
+    gone = {r[:4] for r in got if r[-1]}
+    assert {(201, 0, 1, 1), (301, 1, 1, 6), (302, 1, 2, 9)} <= gone
+    assert not {r[0] for r in got} & {202, 203, 303}
+    assert paragraphs.passages(frame.limit(0)).count() == 0
