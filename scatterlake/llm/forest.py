@@ -1,10 +1,15 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
-
-Each different text has ``TREES`` labels of ``LABEL`` MinHash values. A tree is
-a trie of its labels in sorted order; texts that share a prefix stand together.
-The matched prefix starts at the whole label and is shortened, one value at a
-time, until a pair at the threshold shares it in some tree with probability
-``RECALL``. Candidates are verified by the exact Jaccard similarity of their
+"""N-gram Jaccard join: MinHash bands of fixed depth, then exact verification.
+
+This is not an LSH forest, for all its names say: no labels are sorted, no
+longest prefix is matched and nothing depends on the data. Each different text
+has ``TREES`` labels of ``LABEL`` MinHash values, and texts whose first
+``prefix_depth()`` values of a label are equal collide. The depth follows from
+the constants: the longest at which a pair at the threshold collides in some
+label with probability ``RECALL``. There is one threshold and all pairs over it
+are wanted, not the nearest few of a query, so a longer prefix for some text
+would only lose recall there; crowded buckets are dealt out in blocks instead.
+The values behind the depth serve the agreement filter alone.
+Candidates are verified by the exact Jaccard similarity of their
 five-word shingle sets, at 0.8 or more.
 
 Defined results: null text counts as empty; texts without words link with
