@@ -3,13 +3,14 @@
 The model is a published BPE piece model, read on the driver (its path is a
 parameter) and broadcast as tables. Encoding is the agenda of BPE: the adjacent
 pair with the best piece merges first, the leftmost among equals; a candidate is
-skipped for good if the keyed hash of (seed, variant, chunk, place, piece) falls
-under the dropout rate. The agenda runs over all different chunks of a slice at
-once, a merge per chunk and step; chunks of over ``LONG`` characters run their
-own heap. A chunk is a run of spaces and what follows up to the next space or
-line break; no piece reaches across. Each occurrence of a chunk draws
-one of ``VARIANTS`` variants by the keyed hash of (seed, doc_id, place), so a
-word is cut in several ways, and a document always in the same way.
+skipped for good if the keyed hash of (seed, doc_id, place of the chunk, chunk,
+place, piece) falls under the dropout rate, so each occurrence of a word is cut
+on its own, and a document always in the same way. The agenda runs over many
+chunks at once, a merge per chunk and step; chunks of over ``LONG`` characters
+run their own heap. It runs once without dropout for each different chunk of a
+slice, and again for each occurrence that skips any candidate met there; the
+others can't differ. A chunk is a run of spaces and what follows up to the next
+space or line break; no piece reaches across.
 
 Characters without a piece, and U+2581 in a text, become byte pieces, so
 decoding returns every text as it was. Defined results: null text gives null
@@ -31,7 +32,7 @@ from scatterlake.llm import textops
 from scatterlake.llm.tables import table
 
 MODEL = os.environ.get("SCATTERLAKE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-SEED, DROPOUT, VARIANTS = 20_24, 0.1, 4
+SEED, DROPOUT = 20_24, 0.1
 LONG = 256
 SPACE = "▁"
 _NONE = np.int64(1 << 40)
@@ -95,13 +96,13 @@ def merged_piece(model: dict[str, np.ndarray], left: np.ndarray, right: np.ndarr
 
 
 def skipped(draw: np.ndarray, place: np.ndarray, piece: np.ndarray, rate: float) -> np.ndarray:
-    """Which candidates the keyed hash drops; draw is the hash of seed, variant and chunk."""
+    """Which candidates the keyed hash drops; draw is the hash of seed, occurrence and chunk."""
     h = textops.mix(draw ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + piece.astype(np.uint64)))
     return (h >> np.uint64(11)) < np.uint64(int(rate * 2**53))
 
 
-def _candidates(model, ids, owner, place, draw, left, rate):
-    """Priority of the pairs that start at symbols ``left``: rank, then place; _NONE where nothing merges."""
+def _candidates(model, ids, owner, place, draw, left, rate, tried=None):
+    """Priority of the pairs that start at symbols ``left``: rank, then place; _NONE where nothing merges. What could merge goes to tried."""
     out = np.full(len(left), _NONE)
     inside = np.flatnonzero(left + 1 < len(ids))
     inside = inside[owner[left[inside]] == owner[left[inside] + 1]]
@@ -109,6 +110,8 @@ def _candidates(model, ids, owner, place, draw, left, rate):
     piece = merged_piece(model, ids[at], ids[at + 1])
     good = piece >= 0
     inside, at, piece = inside[good], at[good], piece[good]
+    if tried is not None:
+        tried.append((owner[at], place[at], piece))
     if rate:
         keep = ~skipped(draw[owner[at]], place[at], piece, rate)
         inside, at, piece = inside[keep], at[keep], piece[keep]
@@ -146,11 +149,14 @@ def agenda(model: dict[str, np.ndarray], ids: list[int], draw: int, rate: float)
     return [ids[k] for k in live], live
 
 
-def segment(model: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray, draw: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merges the characters ids[at[i]:at[i+1]] of each chunk; returns symbols, their chunks and places."""
+def segment(model: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray, draw: np.ndarray, rate: float, tried: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merges the characters ids[at[i]:at[i+1]] of each chunk; returns symbols, their chunks and places.
+
+    With tried, which gets every candidate's chunk, place and piece, long chunks are left out.
+    """
     size = np.diff(at)
     out_id, out_owner, out_place = [], [], []
-    for k in np.flatnonzero(size > LONG):
+    for k in np.flatnonzero(size > LONG) if tried is None else ():
         found, place = agenda(model, ids[at[k] : at[k + 1]].tolist(), int(draw[k]), rate)
         out_id.append(np.array(found, np.int32))
         out_owner.append(np.full(len(found), k))
@@ -159,7 +165,7 @@ def segment(model: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray, draw:
     place = np.arange(len(ids)) - np.repeat(at[:-1], size)
     short = size[owner] <= LONG
     ids, owner, place = ids[short].astype(np.int32), owner[short], place[short]
-    best = _candidates(model, ids, owner, place, draw, np.arange(len(ids)), rate)
+    best = _candidates(model, ids, owner, place, draw, np.arange(len(ids)), rate, tried)
     while len(ids):
         first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         least = np.minimum.reduceat(best, first)
@@ -182,10 +188,10 @@ def segment(model: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray, draw:
         shift = np.cumsum(keep) - 1
         ids, owner, place, best = ids[keep], owner[keep], place[keep], best[keep]
         hit = shift[hit]
-        best[hit] = _candidates(model, ids, owner, place, draw, hit, rate)
+        best[hit] = _candidates(model, ids, owner, place, draw, hit, rate, tried)
         left = hit[hit > 0] - 1
         left = left[owner[left] == owner[left + 1]]
-        best[left] = _candidates(model, ids, owner, place, draw, left, rate)
+        best[left] = _candidates(model, ids, owner, place, draw, left, rate, tried)
     if not out_id:
         return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     ids, owner, place = map(np.concatenate, (out_id, out_owner, out_place))
@@ -199,7 +205,20 @@ def _gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def encode(model: dict[str, np.ndarray], buf: np.ndarray, offs: np.ndarray, doc: np.ndarray, seed: int = SEED, rate: float = DROPOUT, variants: int = VARIANTS) -> tuple[np.ndarray, np.ndarray]:
+def _touched(tried: list, chunk: np.ndarray, draw: np.ndarray, rate: float) -> np.ndarray:
+    """Which occurrences skip any candidate of their chunk's agenda without dropout."""
+    owner, place, piece = (np.concatenate(x) for x in zip(*tried, strict=True))
+    order = np.argsort(owner, kind="stable")
+    place, piece = place[order], piece[order]
+    n = np.bincount(owner, minlength=int(chunk.max()) + 1)
+    start, count = (np.cumsum(n) - n)[chunk], n[chunk]
+    at, of = _gather(start, count), np.repeat(np.arange(len(chunk)), count)
+    out = np.zeros(len(chunk), bool)
+    out[of[skipped(draw[of], place[at], piece[at], rate)]] = True
+    return out
+
+
+def encode(model: dict[str, np.ndarray], buf: np.ndarray, offs: np.ndarray, doc: np.ndarray, seed: int = SEED, rate: float = DROPOUT) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of every text with their offsets; each non-empty text gets a space in front, as the model wants."""
     size = np.diff(offs)
     lead = (size > 0).astype(np.int64)
@@ -216,12 +235,6 @@ def encode(model: dict[str, np.ndarray], buf: np.ndarray, offs: np.ndarray, doc:
     last = np.append(first[1:], len(text))
     owner = np.searchsorted(at, first, "right") - 1
     chunk = textops.span_hash(textops.prefix_hash(text), first, last)
-    draw = np.zeros(len(first), np.uint64)
-    if rate:
-        order = np.arange(len(first)) - np.searchsorted(first, at)[owner]
-        variant = textops.keyed(doc.view(np.uint64)[owner] * np.uint64(0x9E3779B97F4A7C15) + order.astype(np.uint64), seed) % np.uint64(max(1, variants))
-        draw = textops.keyed(chunk + variant, seed + 1)
-        chunk = draw
     _, which, back = np.unique(chunk, return_index=True, return_inverse=True)
     own = text[_gather(first[which], (last - first)[which])]
     heads = np.flatnonzero((own & 0xC0) != 0x80)
@@ -229,18 +242,30 @@ def encode(model: dict[str, np.ndarray], buf: np.ndarray, offs: np.ndarray, doc:
     padded = np.concatenate([own, np.zeros(3, np.uint8)]).astype(np.int64)
     a, b, c, d = (padded[heads + k] for k in range(4))
     code = np.where(a < 0x80, a, np.where(a < 0xE0, (a & 31) << 6 | b & 63, np.where(a < 0xF0, (a & 15) << 12 | (b & 63) << 6 | c & 63, (a & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | d & 63)))
-    ids, mine, place = segment(model, model["chars"][code], chunk_at, draw[which], rate)
+    chars, source = model["chars"][code], np.arange(len(which))
+    tried: list = []
+    ids, mine, place = segment(model, chars, chunk_at, np.zeros(len(which), np.uint64), 0.0, tried if rate else None)
+    if rate:
+        order = np.arange(len(first)) - np.searchsorted(first, at)[owner]
+        draw = textops.keyed(chunk + textops.keyed(doc.view(np.uint64)[owner] * np.uint64(0x9E3779B97F4A7C15) + order.astype(np.uint64), seed), seed + 1)
+        own_draw = _touched(tried, back, draw, rate) | (np.diff(chunk_at) > LONG)[back]
+        again = back[own_draw]
+        back[own_draw] = len(which) + np.arange(len(again))
+        size = np.diff(chunk_at)[again]
+        more = segment(model, chars[_gather(chunk_at[again], size)], np.concatenate([[0], np.cumsum(size)]), draw[own_draw], rate)
+        ids, mine, place = (np.concatenate(x) for x in zip((ids, mine, place), (more[0], more[1] + len(which), more[2]), strict=True))
+        source = np.concatenate([source, again])
     count = np.ones(len(ids), np.int64)
     unknown = np.flatnonzero(ids < 0)
     if len(unknown):
-        char = chunk_at[mine[unknown]] + place[unknown]
+        char = chunk_at[source[mine[unknown]]] + place[unknown]
         width = np.diff(np.append(heads, len(own)))[char]
         count[unknown] = width
         spread = np.repeat(ids, count)
         begin = (np.cumsum(count) - count)[unknown]
         spread[_gather(begin, width)] = model["byte"][own[_gather(heads[char], width)]]
         ids, mine = spread, np.repeat(mine, count)
-    ids_at = np.searchsorted(mine, np.arange(len(which) + 1))
+    ids_at = np.searchsorted(mine, np.arange(len(source) + 1))
     n = np.diff(ids_at)[back]
     out = ids[_gather(ids_at[:-1][back], n)]
     total = np.concatenate([[0], np.cumsum(n)])
@@ -265,7 +290,7 @@ def encoded(documents: DataFrame, model: dict[str, np.ndarray] | None = None, se
         for batch in batches:
             doc = np.nan_to_num(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
             null = batch.column("text").is_null()
-            for lo, hi, buf, offs in textops.slices(batch.column("text"), 1 << 21):
+            for lo, hi, buf, offs in textops.slices(batch.column("text")):
                 ids, at = encode(tables, buf, offs, doc[lo:hi], seed, rate)
                 text, ends = decode(tables, ids, at)
                 same = np.diff(ends) == np.diff(offs)

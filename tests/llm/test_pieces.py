@@ -60,3 +60,21 @@ def test_frames(spark, model):
     back = sorted((tuple(r) for r in pieces.decoded(out, model).collect()), key=str)
     assert back == sorted(rows, key=str)
     assert pieces.encoded(frame.limit(0), model).count() == 0
+
+
+def test_every_occurrence_draws_on_its_own(model, monkeypatch):
+    rows = ["information " * 3000, "information " * 3000]
+    got = run(model, rows)
+    cut = lambda ids: pieces.decode(model, np.array(ids, np.int64), np.array([0, len(ids)]))[0].tobytes()
+    found = set()
+    for ids in got:
+        word: list = []
+        for i in ids:
+            if word and model["data"][model["start"][i]] == 32:
+                found.add(tuple(word))
+                word = []
+            word.append(i)
+    assert len(found) > 20 and got[0] != got[1] and cut(got[0]) == rows[0].encode()
+    few = run(model, [x[:2400] for x in rows])
+    monkeypatch.setattr(pieces, "LONG", 0)
+    assert run(model, [x[:2400] for x in rows]) == few
