@@ -2,8 +2,10 @@
 
 Vectors are scaled to length one, so the nearest by cosine are the nearest by
 distance. Lists are the cells of k-means centres, fitted on a sample of at most
-``SAMPLE`` vectors; every vector is put in a list. A query probes the fewest
-lists that reached the ``TARGET`` recall on the sample. Inside a probed list the
+``SAMPLE`` different vectors; every vector is put in a list. A query probes the
+fewest lists that reached the ``TARGET`` recall on the sample; one that found
+fewer than ``K`` others goes on to its next lists, twice as many in every round,
+until it has them or all lists are done. Inside a probed list the
 vectors, turned by a random rotation, are scanned a block of columns at a time:
 the distance over the first d of D rotated columns estimates the whole, and a
 candidate is abandoned once estimate > (1 + EPSILON / sqrt(d)) times the k-th
@@ -137,12 +139,14 @@ def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest of every vector that is_query holds for."""
     session = vectors.sparkSession
     usable = checkpoint(clean(vectors))
-    n = usable.count()
+    different = checkpoint(usable.groupBy("v").agg(F.min("vec_id").alias("vec_id")))
+    n = different.count()
     if not n:
         return session.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = unit(np.array([r["v"] for r in usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()]))
+    sample = unit(np.array([r["v"] for r in different.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()]))
     c = centres(sample, max(1, min(LISTS, len(sample) // 8, 2 ** round(np.log2(max(1, n**0.5))))))
-    model = session.sparkContext.broadcast((c, probes(sample, c, k), rotation(sample.shape[1])))
+    count = probes(sample, c, k)
+    model = session.sparkContext.broadcast((c, count, rotation(sample.shape[1])))
 
     def assign(batches):
         c, _, _ = model.value
@@ -150,12 +154,17 @@ def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
             own = (unit(_matrix(batch.column("v"))) @ c.T).argmax(axis=1) if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(own.astype(np.int64))], names=["vec_id", "v", "list"])
 
-    def probe(batches):
-        c, count, _ = model.value
-        for batch in batches:
-            own = np.argsort(-(unit(_matrix(batch.column("v"))) @ c.T), axis=1, kind="stable")[:, :count] if batch.num_rows else np.zeros((0, count), np.int64)
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), own.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(rows), batch.column("v").take(rows), pa.array(own.ravel().astype(np.int64))], names=["vec_id", "v", "list"])
+    def probe(start: int, end: int):
+        """The lists that are start-th to before end-th nearest to each query."""
+
+        def run(batches):
+            c = model.value[0]
+            for batch in batches:
+                own = np.argsort(-(unit(_matrix(batch.column("v"))) @ c.T), axis=1, kind="stable")[:, start:end] if batch.num_rows else np.zeros((0, end - start), np.int64)
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), own.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(rows), batch.column("v").take(rows), pa.array(own.ravel().astype(np.int64))], names=["vec_id", "v", "list"])
+
+        return run
 
     def search(batches):
         turn = model.value[2]
@@ -176,15 +185,29 @@ def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     chunks = listed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))  # at most LISTS rows
     queries = usable.where(is_query)
     reps = queries.groupBy("v").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "v")
-    asked = checkpoint(reps.mapInArrow(probe, "vec_id long, v array<double>, list long"))
-    blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    sizes = F.broadcast(chunks.join(blocks, "list"))
     hashed = F.xxhash64("vec_id")
-    candidates = listed.join(sizes, "list").withColumn("chunk", F.pmod(hashed, "chunks")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    wanted = asked.join(sizes, "list").withColumn("block", F.pmod(hashed, "blocks")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    dealt = [x.select(F.xxhash64("list", "chunk", "block").alias("unit"), F.lit(asks).alias("asks"), "vec_id", "v") for asks, x in enumerate((candidates, wanted))]
-    found = dealt[0].unionByName(dealt[1]).repartition(partitions(vectors), "unit").sortWithinPartitions("unit", "asks", "vec_id").mapInArrow(search, "rep long, vec_id long, score double")
-    best = found.withColumn("place", F.row_number().over(W.partitionBy("rep").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1).drop("place")
+
+    def look(asking: DataFrame, start: int, end: int) -> DataFrame:
+        asked = checkpoint(asking.mapInArrow(probe(start, end), "vec_id long, v array<double>, list long"))
+        blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        sizes = F.broadcast(chunks.join(blocks, "list"))
+        candidates = listed.join(sizes, "list").withColumn("chunk", F.pmod(hashed, "chunks")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        wanted = asked.join(sizes, "list").withColumn("block", F.pmod(hashed, "blocks")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        dealt = [x.select(F.xxhash64("list", "chunk", "block").alias("unit"), F.lit(asks).alias("asks"), "vec_id", "v") for asks, x in enumerate((candidates, wanted))]
+        return dealt[0].unionByName(dealt[1]).repartition(partitions(vectors), "unit").sortWithinPartitions("unit", "asks", "vec_id").mapInArrow(search, "rep long, vec_id long, score double")
+
+    def top(found: DataFrame) -> DataFrame:
+        return checkpoint(found.withColumn("place", F.row_number().over(W.partitionBy("rep").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1).drop("place"))
+
+    done = count
+    best = top(look(reps, 0, done))
+    while done < len(c):
+        enough = best.groupBy(F.col("rep").alias("vec_id")).count().where(F.col("count") > k)  # each vector finds itself too
+        short = checkpoint(reps.join(enough, "vec_id", "left_anti"))
+        if short.isEmpty():
+            break
+        best = top(best.unionByName(look(short, done, 2 * done)))
+        done *= 2
     named = queries.select(F.col("vec_id").alias("query_id"), "v").join(reps.select(F.col("vec_id").alias("rep"), "v"), "v").select("query_id", "rep")
     others = named.join(best, "rep").where("query_id != vec_id")
     ranked = others.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))

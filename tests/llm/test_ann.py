@@ -65,3 +65,16 @@ def test_rows_that_take_no_part(spark):
 def test_few_and_none(spark):
     assert result(spark, [(0, [1.0, 0.0]), (7, [2.0, 2.0])]) == {0: [(7, pytest.approx(2**-0.5))]}
     assert result(spark, []) == {}
+
+
+def test_small_cells_still_give_k(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ann, "centres", lambda x, lists: x[::2])
+    monkeypatch.setattr(ann, "probes", lambda x, c, k: seen.append(x) or 1)
+    x = np.random.default_rng(3).standard_normal((301, 16)).astype(np.float32)
+    x[200:240] = x[7]
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    want, got = brute(rows), result(spark, rows)
+    assert got.keys() == want.keys() and all(len(v) == 5 for v in got.values())
+    assert len(np.unique(seen[0], axis=0)) == len(seen[0]) == 261
+    assert len(result(spark, rows[:4])[0]) == 3
