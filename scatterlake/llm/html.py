@@ -10,7 +10,9 @@ outweighs their edges are fixed first (they lie on that side of a minimum cut),
 augmenting paths solve the rest.
 
 Blocks: every element but the inline ones starts one; <br> is white space inside
-it. Character references are decoded, white space becomes one space, blocks are
+it, and so are drawings and formulas with all that is in them, until a tag that
+can't stand there ends them. Only scripts, styles, text areas and titles are
+dropped, unclosed ones to the end of the page. Character references are decoded, white space becomes one space, blocks are
 trimmed and joined in page order by one line feed. Defined results: null or empty
 html, and pages without content, give an empty text; unclosed and crossed tags,
 unclosed comments and tags cut off by the end of the page are tolerated; repeated
@@ -37,7 +39,7 @@ ADJACENT, SIBLING, TEMPLATES = 0.8, 0.5, 400
 
 _TOKEN = re.compile(
     r"""<(?:!--.*?(?:--!?>|\Z)
-      |(?P<raw>script|style|noscript|template|textarea|select|svg|math|iframe|object|title|canvas|audio|video|button)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)
+      |(?P<raw>script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)
       |(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)
       |[a-zA-Z/!?][^>]*(?:>|\Z))""",
     re.S | re.I | re.X,
@@ -47,8 +49,10 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter nobr q ruby rt rp s samp small span strike strong sub sup time tt u var wbr link meta base picture source".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter nobr q ruby rt rp s samp small span strike strong sub sup time tt u var wbr link meta base picture source svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Tags that end an open drawing or formula.
+_BREAKOUT = frozenset("address article aside b big blockquote body br center code dd div dl dt em embed figure footer form h1 h2 h3 h4 h5 h6 head header hr i img li listing main menu meta nav nobr ol p pre ruby s section small span strike strong sub sup table tt u ul var".split())
 #: An opening tag of the key closes open elements of the value, up to the listed barriers.
 _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
@@ -72,6 +76,8 @@ _NOTES = re.compile(r"©|\(c\)\s*\d{4}|copyright|all rights reserved|cookies?\b|
 KINDS = len(WORDS)
 #: kinds of ancestors (as tag, as word), then the block's own figures
 FEATURES = 2 * KINDS + 12
+#: Flag of what stands in a drawing or formula.
+_FOREIGN = 1 << 2 * KINDS + 1
 
 
 class Block:
@@ -112,13 +118,16 @@ def blocks(page: str) -> list[tuple[str, Block]]:
     number, links, head = 0, 0, False
     now = Block((), 0, "")
 
+    def within(x: tuple[str, int, int]) -> bool:
+        return x[0] in INLINE or x[2] & _FOREIGN > 0
+
     def close() -> None:
         nonlocal now
         if now.parts:
             text = " ".join("".join(now.parts).split())
             if text:
                 out.append((text, now))
-        top = [x for x in stack if x[0] not in INLINE]
+        top = [x for x in stack if not within(x)]
         now = Block(tuple(x[1] for x in top), stack[-1][2] if stack else 0, top[-1][0] if top else "")
 
     def take(raw: str) -> None:
@@ -130,7 +139,7 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             now.linked += len("".join(text.split()))
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             take(page[at : m.start()])
         at = m.end()
@@ -138,8 +147,18 @@ def blocks(page: str) -> list[tuple[str, Block]]:
         if name is None:
             if m["raw"]:
                 take(" ")
+                end = page.find(">", m.start()) + 1
+                if stack and stack[-1][2] & _FOREIGN and page[end - 2 : end] == "/>":
+                    at = end  # empty in a drawing
             continue
         name = name.lower()
+        foreign = bool(stack and stack[-1][2] & _FOREIGN)
+        if foreign and name in _BREAKOUT and not m["end"]:
+            k = max(k for k in range(len(stack)) if not k or not stack[k - 1][2] & _FOREIGN)
+            links -= sum(x[0] == "a" for x in stack[k:])
+            del stack[k:]
+            foreign = False
+        inline = name in INLINE or foreign and name not in _BREAKOUT
         if m["end"]:
             if name == "head":
                 head = False
@@ -149,7 +168,7 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     break
-                if name in INLINE and stack[k][0] not in INLINE:
+                if inline and not within(stack[k]):
                     k = -1
                     break
             else:
@@ -157,15 +176,14 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             if k >= 0:
                 links -= sum(x[0] == "a" for x in stack[k:])
                 del stack[k:]
-            if name not in INLINE:
+            if not inline:
                 close()
             continue
         if name == "head":
             head = True
             continue
-        if head and name not in INLINE:
+        if head and not inline:
             head = False
-        inline = name in INLINE
         if not inline:
             # an open paragraph ends at a new block; open inline elements end with it
             for k in range(len(stack) - 1, -1, -1):
@@ -173,7 +191,7 @@ def blocks(page: str) -> list[tuple[str, Block]]:
                     links -= sum(x[0] == "a" for x in stack[k:])
                     del stack[k:]
                     break
-                if stack[k][0] not in INLINE:
+                if not within(stack[k]):
                     break
             if name in _CLOSES:
                 ends, barrier = _CLOSES[name]
@@ -190,6 +208,10 @@ def blocks(page: str) -> list[tuple[str, Block]]:
         if name not in VOID and not attrs.endswith("/"):
             number += 1
             flags = (stack[-1][2] if stack else 0) | _flags(name, attrs)
+            if name in ("svg", "math"):
+                flags |= _FOREIGN
+            elif name == "foreignobject":
+                flags &= ~_FOREIGN
             stack.append((name, number, flags))
             links += name == "a"
         if not inline:

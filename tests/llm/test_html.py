@@ -66,3 +66,26 @@ def test_long_and_deep_pages(weights):
     wide = "".join(f"<p>paragraph number {k} of many.</p>" for k in range(3000))
     got = html.extract([deep, wide, "<" * 20000, "<a" * 5000, "<!--" * 4000, "&" * 9000], weights)
     assert got[0] == "text in the deep." and got[1].count("\n") == 2999
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ('<svg class="i"/><p>All of the article.</p><p>More of it stands here.</p>', "All of the article.\nMore of it stands here."),
+        ("<math/><p>All of the article.</p>", "All of the article."),
+        ("<svg><title/><style/><g><path d='M0'></g></svg><p>All of the article.</p>", "All of the article."),
+        ("<svg><path d='M0'><p>All of the article.</p>", "All of the article."),
+        ("<button><p>All of the article.</p>", "All of the article."),
+        ("<object data=x><p>All of the article.</p>", "All of the article."),
+        ("<iframe src=x><p>All of the article.</p>", "All of the article."),
+        ("<p>So <math><mrow><mi>x</mi> <mo>=</mo> <mn>2</mn></mrow></math> holds <svg><g><path/></g></svg>here.</p>", "So x = 2 holds here."),
+        ("<noscript><p>Without a script.</p></noscript><p>After it.<script>var a", "Without a script.\nAfter it."),
+    ],
+)
+def test_only_scripts_and_the_like_are_dropped(inner, want):
+    assert "\n".join(t for t, _ in html.blocks(f"<article><h1>T</h1>{inner}")) == f"T\n{want}"
+
+
+def test_an_article_after_an_icon_stays(weights):
+    page = "<article><h1>Title</h1><svg class='i'/><p>All of the article stands in this line.</p><p>The second line of it stands here, with <math><mi>x</mi></math> in it.</p></article>"
+    assert html.extract([page], weights) == ["Title\nAll of the article stands in this line.\nThe second line of it stands here, with x in it."]
