@@ -117,28 +117,32 @@ def delaunay_edges(points: DataFrame) -> DataFrame:
 
 
 def adjacent_groups(i: np.ndarray, j: np.ndarray, coh: np.ndarray) -> np.ndarray:
-    """Of points on touching pixels (eight neighbours), linked in order of arrival, the most coherent stays."""
-    at = {}
-    for k, cell in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        at.setdefault(cell, []).append(k)
-    group = np.full(len(i), -1)
+    """Which points stay when, of points on touching pixels, the most coherent of a group does.
+
+    A point follows the first one to arrive on its eight neighbouring pixels (not on its
+    own). In order of arrival, a point gathers those that follow it, those that follow
+    them and so on, as far as no earlier point has gathered them; of each group all but
+    the first of the most coherent go.
+    """
+    first: dict[tuple[int, int], int] = {}
+    cells = list(zip(i.tolist(), j.tolist(), strict=True))
+    for k, cell in enumerate(cells):
+        first.setdefault(cell, k)
+    followers: dict[int, list[int]] = {}
+    for k, (r, c) in enumerate(cells):
+        near = [first[r + a, c + b] for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (r + a, c + b) in first]
+        if near:
+            followers.setdefault(min(near), []).append(k)
+    keep = np.ones(len(i), bool)
     for k in range(len(i)):
-        if group[k] >= 0:
-            continue
-        todo, group[k] = [k], k
+        todo, group = [k] if k in followers else [], set()
         while todo:
             m = todo.pop()
-            for di in (-1, 0, 1):
-                for dj in (-1, 0, 1):
-                    for o in at.get((i[m] + di, j[m] + dj), []):
-                        if group[o] < 0:
-                            group[o] = k
-                            todo.append(o)
-    keep = np.zeros(len(i), bool)
-    order = np.lexsort((np.arange(len(i)), -coh, group))
-    lead = np.ones(len(i), bool)
-    lead[1:] = group[order][1:] != group[order][:-1]
-    keep[order[lead]] = True
+            group.add(m)
+            todo += followers.pop(m, [])
+        if group:
+            stays = min(group, key=lambda m: (-coh[m], m))
+            keep[[m for m in group if m != stays]] = False
     return keep
 
 

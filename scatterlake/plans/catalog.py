@@ -99,12 +99,17 @@ def f5(spark, sf):
     return prep.crop(X.points(spark, sf), (3, 9), (5, 14)).select("ps_id", long("row"), long("col"))
 
 
-PATCHES = 'ranges AS (SELECT 25 AS size, 3 AS n, \'c\' AS axis UNION ALL SELECT 80, 4, \'r\'), own AS (SELECT axis, size, k, size * k // n + 1 AS o0, size * (k + 1) // n AS o1 FROM ranges, range(4) t(k) WHERE k < n), ax AS (SELECT axis, k, greatest(1, o0 - 2) AS l, least(size, o1 + 2) AS h, o0, o1 FROM own), patches AS (SELECT (c.k * 4 + r.k + 1)::INT AS patch, c.l AS c0, c.h AS c1, r.l AS r0, r.h AS r1, c.o0 AS oc0, c.o1 AS oc1, r.o0 AS or0, r.o1 AS or1 FROM ax c, ax r WHERE c.axis = \'c\' AND r.axis = \'r\')'
+PATCHES = 'ranges AS (SELECT 25 AS size, 3 AS n, \'c\' AS axis UNION ALL SELECT (SELECT max("row") + 1 FROM points), 4, \'r\'), own AS (SELECT axis, size, k, size * k // n + 1 AS o0, size * (k + 1) // n AS o1 FROM ranges, range(4) t(k) WHERE k < n), ax AS (SELECT axis, k, greatest(1, o0 - 2) AS l, least(size, o1 + 2) AS h, o0, o1 FROM own), patches AS (SELECT (c.k * 4 + r.k + 1)::INT AS patch, c.l AS c0, c.h AS c1, r.l AS r0, r.h AS r1, c.o0 AS oc0, c.o1 AS oc1, r.o0 AS or0, r.o1 AS or1 FROM ax c, ax r WHERE c.axis = \'c\' AND r.axis = \'r\')'
+
+
+def last_row(spark, sf) -> int:
+    """Rows of the grid that the points fill, so that every point lies in a patch."""
+    return (X.points(spark, sf).agg(F.max("row")).first()[0] or 0) + 1
 
 
 @query("x9_patch_grid", f"WITH {PATCHES} SELECT patch::BIGINT AS patch_id, c0::BIGINT AS c0, c1::BIGINT AS c1, r0::BIGINT AS r0, r1::BIGINT AS r1 FROM patches")
 def x9(spark, sf):
-    return prep.patches(spark, 25, 80, 3, 4, 2).select(*[long(c) for c in ("patch_id", "c0", "c1", "r0", "r1")])
+    return prep.patches(spark, 25, last_row(spark, sf), 3, 4, 2).select(*[long(c) for c in ("patch_id", "c0", "c1", "r0", "r1")])
 
 
 INSIDE = 'points.col + 1 BETWEEN c0 AND c1 AND "row" + 1 BETWEEN r0 AND r1'
@@ -113,7 +118,7 @@ OWN = '(points.col + 1 BETWEEN oc0 AND oc1 AND "row" + 1 BETWEEN or0 AND or1)'
 
 def in_patches(spark, sf):
     p = X.points(spark, sf).withColumns({"row": F.col("row") + 1, "col": F.col("col") + 1}).drop("patch_id")
-    return prep.in_patches(p, prep.patches(spark, 25, 80, 3, 4, 2))
+    return prep.in_patches(p, prep.patches(spark, 25, last_row(spark, sf), 3, 4, 2))
 
 
 @query("f6_patch_membership", f"WITH {PATCHES} SELECT ps_id, patch::BIGINT AS patch_id FROM points JOIN patches ON {INSIDE}")

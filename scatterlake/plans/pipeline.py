@@ -74,9 +74,13 @@ def select(store: Store, params: Params) -> dict[str, DataFrame]:
 
 
 def weeding(store: Store, params: Params) -> dict[str, DataFrame]:
-    """Stage 4: duplicates go, then points whose edges are noisy."""
+    """Stage 4: less coherent neighbours (if asked for) and duplicates go, then points at sea level (if asked for) and with noisy edges."""
     chosen = store.read("points").join(store.read("selection").drop("patch_id"), "ps_id")
+    if params.flag("weed_neighbours"):
+        chosen = chosen.join(weed.adjacency_keep(chosen).where("keep").select("ps_id"), "ps_id", "left_semi")
     unique = weed.best_of(chosen, ["patch_id", "x", "y"])
+    if params.flag("weed_zero_elevation"):
+        unique = unique.where(F.col("height") >= 1e-6)
     limit = params.scalar("weed_standard_dev", 1.0), params.scalar("weed_max_noise", math.inf)
     edges = weed.delaunay_edges(unique).withColumn("edge_id", F.xxhash64("patch_id", "a", "b"))
     if min(limit) >= math.pi:

@@ -77,6 +77,34 @@ def test_delaunay():
 def test_adjacent_points_keep_the_best():
     keep = weed.adjacent_groups(np.array([0, 1, 5, 5]), np.array([0, 1, 5, 7]), np.array([0.5, 0.9, 0.1, 0.2]))
     assert keep.tolist() == [False, True, True, True]
+    # columns 0, 3, 1, 2 by arrival: the third follows the first, the fourth the second
+    row = weed.adjacent_groups(np.zeros(4, int), np.array([0, 3, 1, 2]), np.array([0.1, 0.2, 0.3, 0.4]))
+    assert row.tolist() == [False, False, True, True]
+    for _ in range(40):
+        n = 30
+        i, j, coh = RNG.integers(0, 8, n), RNG.integers(0, 8, n), RNG.integers(0, 5, n) / 5
+        assert weed.adjacent_groups(i, j, coh).tolist() == grouped_brute(i, j, coh)
+
+
+def grouped_brute(i, j, coh):
+    """Marks every neighbouring pixel with its first point, then follows the marks."""
+    mark = np.full((12, 12), -1)
+    for k, (r, c) in enumerate(zip(i, j, strict=True)):
+        around = mark[r : r + 3, c : c + 3]
+        around[(around < 0) & (np.arange(9).reshape(3, 3) != 4)] = k
+    leader = [int(mark[r + 1, c + 1]) for r, c in zip(i, j, strict=True)]
+    taken, keep = set(), [True] * len(i)
+    for k in range(len(i)):
+        group, grown = {k}, True
+        while grown:
+            new = {m for m in range(len(i)) if m not in taken and leader[m] in group}
+            taken |= new
+            grown = bool(new)
+            group |= new
+        best = max(sorted(group), key=lambda m: coh[m])
+        for m in group - {best}:
+            keep[m] = False
+    return keep
 
 
 def test_unwrapping_is_congruent_and_integrates_smooth_fields():
