@@ -26,7 +26,7 @@ import functools
 import html
 import random
 import re
-from collections import deque
+from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
@@ -80,12 +80,21 @@ FEATURES = 2 * KINDS + 12
 _FOREIGN = 1 << 2 * KINDS + 1
 
 
+class Place:
+    """A block element with the one around it and the number of those around both."""
+
+    __slots__ = ("parent", "depth")
+
+    def __init__(self, parent: Place | None):
+        self.parent, self.depth = parent, parent.depth + 1 if parent else 1
+
+
 class Block:
-    __slots__ = ("parts", "linked", "path", "flags", "tag", "comment_inside")
+    __slots__ = ("parts", "linked", "place", "flags", "tag", "comment_inside")
 
-    def __init__(self, path: tuple, flags: int, tag: str):
+    def __init__(self, place: Place | None, flags: int, tag: str):
         self.parts: list[str] = []
-        self.linked, self.path, self.flags, self.tag = 0, path, flags, tag
+        self.linked, self.place, self.flags, self.tag = 0, place, flags, tag
 
 
 def _flags(name: str, attrs: str) -> int:
@@ -114,12 +123,21 @@ _flags = functools.lru_cache(1 << 14)(_flags)
 def blocks(page: str) -> list[tuple[str, Block]]:
     """The text blocks of a page in order, white space normalised, with where they stand."""
     out: list[tuple[str, Block]] = []
-    stack: list[tuple[str, int, int]] = []  # name, element number, flags so far
-    number, links, head = 0, 0, False
-    now = Block((), 0, "")
-
-    def within(x: tuple[str, int, int]) -> bool:
-        return x[0] in INLINE or x[2] & _FOREIGN > 0
+    # name, flags so far, and the innermost block element: its place and name
+    stack: list[tuple[str, int, Place | None, str]] = []
+    depth: Counter[str] = Counter()  # open elements by name
+    links, head = 0, False
+    now = Block(None, 0, "")
+
+    def cut(k: int) -> None:
+        nonlocal links
+        for x in stack[k:]:
+            links -= x[0] == "a"
+            depth[x[0]] -= 1
+        del stack[k:]
+
+    def within(x: tuple) -> bool:
+        return x[0] in INLINE or x[1] & _FOREIGN > 0
 
     def close() -> None:
         nonlocal now
@@ -127,8 +145,8 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             text = " ".join("".join(now.parts).split())
             if text:
                 out.append((text, now))
-        top = [x for x in stack if not within(x)]
-        now = Block(tuple(x[1] for x in top), stack[-1][2] if stack else 0, top[-1][0] if top else "")
+        _, flags, place, tag = stack[-1] if stack else ("", 0, None, "")
+        now = Block(place, flags, tag)
 
     def take(raw: str) -> None:
         if head:
@@ -148,15 +166,14 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             if m["raw"]:
                 take(" ")
                 end = page.find(">", m.start()) + 1
-                if stack and stack[-1][2] & _FOREIGN and page[end - 2 : end] == "/>":
+                if stack and stack[-1][1] & _FOREIGN and page[end - 2 : end] == "/>":
                     at = end  # empty in a drawing
             continue
         name = name.lower()
-        foreign = bool(stack and stack[-1][2] & _FOREIGN)
+        foreign = bool(stack and stack[-1][1] & _FOREIGN)
         if foreign and name in _BREAKOUT and not m["end"]:
-            k = max(k for k in range(len(stack)) if not k or not stack[k - 1][2] & _FOREIGN)
-            links -= sum(x[0] == "a" for x in stack[k:])
-            del stack[k:]
+            k = max(k for k in range(len(stack)) if not k or not stack[k - 1][1] & _FOREIGN)
+            cut(k)
             foreign = False
         inline = name in INLINE or foreign and name not in _BREAKOUT
         if m["end"]:
@@ -165,7 +182,7 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             if name in ("body", "html", "br"):
                 take(" ") if name == "br" else None
                 continue
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if depth[name] else ():
                 if stack[k][0] == name:
                     break
                 if inline and not within(stack[k]):
@@ -174,8 +191,7 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             else:
                 k = -1
             if k >= 0:
-                links -= sum(x[0] == "a" for x in stack[k:])
-                del stack[k:]
+                cut(k)
             if not inline:
                 close()
             continue
@@ -188,8 +204,7 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             # an open paragraph ends at a new block; open inline elements end with it
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
-                    links -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
+                    cut(k)
                     break
                 if not within(stack[k]):
                     break
@@ -197,8 +212,7 @@ def blocks(page: str) -> list[tuple[str, Block]]:
                 ends, barrier = _CLOSES[name]
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in ends:
-                        links -= sum(x[0] == "a" for x in stack[k:])
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k][0] in barrier:
                         break
@@ -206,13 +220,15 @@ def blocks(page: str) -> list[tuple[str, Block]]:
         if name == "br":
             take(" ")
         if name not in VOID and not attrs.endswith("/"):
-            number += 1
-            flags = (stack[-1][2] if stack else 0) | _flags(name, attrs)
+            _, flags, place, tag = stack[-1] if stack else ("", 0, None, "")
+            flags |= _flags(name, attrs)
             if name in ("svg", "math"):
                 flags |= _FOREIGN
             elif name == "foreignobject":
                 flags &= ~_FOREIGN
-            stack.append((name, number, flags))
+            one = (name, flags, place, tag)
+            stack.append(one if within(one) else (name, flags, Place(place), name))
+            depth[name] += 1
             links += name == "a"
         if not inline:
             close()
@@ -309,20 +325,26 @@ def classifier(pages: int = TEMPLATES, seed: int = 5) -> np.ndarray:
     return w
 
 
+def _apart(a: Place | None, b: Place | None, most: int = 200) -> int:
+    """Steps between two elements over the innermost one around both; ``most`` if there are no fewer."""
+    steps = 0
+    while a is not b and steps < most:
+        if b is None or a is not None and a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
+
+
 def edges(found: list[tuple[str, Block]]) -> list[tuple[int, int, float]]:
     """Smoothness edges: neighbours in page order, and the last block before under the same parent."""
     out, last = [], {}
     for k, (_, b) in enumerate(found):
         if k:
-            a = found[k - 1][1].path
-            common = 0
-            for p, q in zip(a, b.path, strict=False):
-                if p != q:
-                    break
-                common += 1
-            away = len(a) + len(b.path) - 2 * common
+            away = _apart(found[k - 1][1].place, b.place)
             out.append((k - 1, k, ADJACENT / (1 + 0.5 * max(0, away - 2))))
-        parent = b.path[-2] if len(b.path) > 1 else -1
+        parent = b.place.parent if b.place else None
         if parent in last and last[parent] != k - 1:
             out.append((last[parent], k, SIBLING))
         last[parent] = k

@@ -89,3 +89,14 @@ def test_only_scripts_and_the_like_are_dropped(inner, want):
 def test_an_article_after_an_icon_stays(weights):
     page = "<article><h1>Title</h1><svg class='i'/><p>All of the article stands in this line.</p><p>The second line of it stands here, with <math><mi>x</mi></math> in it.</p></article>"
     assert html.extract([page], weights) == ["Title\nAll of the article stands in this line.\nThe second line of it stands here, with x in it."]
+
+
+def test_very_deep_and_crossed_pages_take_linear_time():
+    import time
+
+    n = 100_000
+    began = time.time()
+    found = html.blocks("<div>x" * n + "</p></i></section>" * n + "<p>End of it.</p>")
+    assert len(found) == n + 1 and found[-1][0] == "End of it."
+    html.edges(found[-2000:])
+    assert time.time() - began < 60
