@@ -6,7 +6,8 @@ languages; transitions are learned together with the features by gradient of
 the conditional likelihood (forward-backward). Training chains come from a
 bounded sample of documents, and every second one is spliced from two documents
 of different languages, so that staying and switching are both learned. A text's
-words, in chains of at most ``CHAIN`` words, are labelled by forward-backward;
+words, in chains of at most ``CHAIN`` words, are labelled by forward-backward over
+the chain and ``CONTEXT`` words on both sides of it, whose own posteriors are left out;
 the language with the largest sum of posteriors is predicted, its share is the
 score.
 
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 
 from scatterlake.llm import textops
 from scatterlake.llm.pieces import _gather
-from scatterlake.llm.tables import held_out, table
+from scatterlake.llm.tables import checkpoint, held_out, small, table
 
 #: Documented bounds of the training sample: documents of a language, documents in all, chains of a document.
 TRAIN_EACH, TRAIN_ROWS, TRAIN_CHAINS = 400, 4000, 8
-BITS, CHAIN, TRAIN_CHAIN, EPOCHS, BATCH, RATE, DECAY = 17, 64, 32, 6, 1024, 0.05, 1e-6
+BITS, CHAIN, CONTEXT, TRAIN_CHAIN, EPOCHS, BATCH, RATE, DECAY = 17, 64, 12, 32, 6, 1024, 0.05, 1e-6
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
@@ -103,16 +104,18 @@ def forward_backward(score: np.ndarray, length: np.ndarray, transition: np.ndarr
     return post / np.where(total > 0, total, 1), alpha, beta, e, a, live
 
 
-def chains(at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, length and text of every chain, longest first."""
+def chains(at: np.ndarray, most: int, context: int = 0) -> tuple[np.ndarray, ...]:
+    """First word, length and text of every chain with its context, longest first, and where the chain itself begins and ends in it."""
     n = np.diff(at)
     per = -(-n // most)
     text = np.repeat(np.arange(len(n)), per)
     k = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
     first = at[:-1][text] + k * most
     length = np.minimum(most, at[1:][text] - first)
-    order = np.argsort(-length, kind="stable")
-    return first[order], length[order], text[order]
+    start = np.maximum(first - context, at[:-1][text])
+    whole = np.minimum(first + length + context, at[1:][text]) - start
+    order = np.argsort(-whole, kind="stable")
+    return tuple(x[order] for x in (start, whole, text, first - start, first - start + length))
 
 
 def posterior_sums(model: dict, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,12 +127,12 @@ def posterior_sums(model: dict, buf: np.ndarray, offs: np.ndarray) -> tuple[np.n
         return out, np.diff(at)
     _, which, back = np.unique(textops.span_hash(textops.prefix_hash(buf), starts, ends), return_index=True, return_inverse=True)
     score = emissions(model["weights"], *features(buf, starts[which], ends[which]))[back]
-    first, length, text = chains(at, CHAIN)
+    first, length, text, begin, end = chains(at, CHAIN, CONTEXT)
     step = np.arange(int(length[0]))
-    inside = step[None, :] < length[:, None]
-    grid = np.where(inside, first[:, None] + step[None, :], 0)
+    grid = np.where(step[None, :] < length[:, None], first[:, None] + step[None, :], 0)
     post = forward_backward(score[grid], length, model["transition"])[0]
-    np.add.at(out, text, (post * inside[:, :, None]).sum(axis=1))
+    own = (step[None, :] >= begin[:, None]) & (step[None, :] < end[:, None])
+    np.add.at(out, text, (post * own[:, :, None]).sum(axis=1))
     return out, np.diff(at)
 
 
@@ -196,12 +199,21 @@ def fit(texts: list[str], labels: list[str], seed: int = 11) -> dict:
 
 
 def train(documents: DataFrame, each: int = TRAIN_EACH) -> dict:
-    """Fits on the documents of each language with the least hash of doc_id, held-out ones left out."""
+    """Fits on the documents of each language with the least hash of doc_id, held-out ones left out.
+
+    Counts by language say which hashes can be among the least, so that the rank is taken
+    over a few times ``each`` documents of a language and not over all of it. Of rows with
+    one doc_id and language the least text is learned.
+    """
     known = documents.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    sizes = checkpoint(known.groupBy("lang").agg(F.count("*").alias("rows")))
+    low = (F.xxhash64("doc_id") / 2.0**64 + 0.5) * F.col("rows") < 4 * each
+    few = known.join(small(sizes), "lang").where(low).select("doc_id", "lang").distinct()
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).orderBy("place", "lang").limit(TRAIN_ROWS).select("doc_id").distinct()
-    sample = documents.select("doc_id", "lang", "text").where("lang is not null and text is not null").join(F.broadcast(chosen), "doc_id").toPandas()
-    sample = sample.sort_values(["doc_id", "lang", "text"], kind="stable")
+    chosen = few.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).orderBy("place", "lang").limit(TRAIN_ROWS).select("doc_id", "lang")
+    texts = documents.select("doc_id", "lang", "text").where("lang is not null and text is not null").join(F.broadcast(chosen), ["doc_id", "lang"])
+    sample = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas()
+    sample = sample.sort_values(["doc_id", "lang"], kind="stable")
     return fit(sample["text"].tolist(), sample["lang"].tolist())
 
 
@@ -235,10 +247,10 @@ def label_words(model: dict, text: str) -> list[tuple[str, str]]:
     starts, ends, at = words(buf, offs)
     out: list[tuple[str, str]] = []
     score = emissions(model["weights"], *features(buf, starts, ends))
-    for lo in range(0, len(starts), CHAIN):
-        part = score[None, lo : lo + CHAIN]
-        best = forward_backward(part, np.array([part.shape[1]]), model["transition"])[0][0].argmax(axis=1)
-        out += [(bytes(buf[a:b]).decode(errors="replace"), model["names"][k]) for a, b, k in zip(starts[lo:], ends[lo:], best)]
+    for first, length, _, begin, end in sorted(zip(*chains(at, CHAIN, CONTEXT), strict=True)):
+        post = forward_backward(score[None, first : first + length], np.array([length]), model["transition"])[0][0]
+        own = slice(first + begin, first + end)
+        out += [(bytes(buf[a:b]).decode(errors="replace"), model["names"][k]) for a, b, k in zip(starts[own], ends[own], post[begin:end].argmax(axis=1), strict=True)]
     return out
 
 

@@ -66,3 +66,22 @@ def test_nothing_to_learn(spark, tmp_path):
     assert [r.lang_pred for r in language.op7_language(spark, str(tmp_path)).collect()] == ["und"]
     spark.createDataFrame([], "doc_id long, text string, lang string").write.mode("overwrite").parquet(f"{tmp_path}/empty/documents.parquet")
     assert language.op7_language(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_long_texts_are_labelled_like_one_chain():
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["the", "and", "house"] if k % 2 else ["der", "und", "haus"]) for _ in range(40)) for k in range(60)]
+    model = language.fit(texts, ["en" if k % 2 else "de" for k in range(60)])
+    long = " ".join(rnd.choice(["the", "and", "house", "und", "zzz", "42x"]) for _ in range(50_000))
+    _, _, buf, offs = next(language.textops.slices(pa.array([long])))
+    sums, n = language.posterior_sums(model, buf, offs)
+    starts, ends, at = language.words(buf, offs)
+    score = language.emissions(model["weights"], *language.features(buf, starts, ends))
+    whole = language.forward_backward(score[None], np.array([len(starts)]), model["transition"])[0][0]
+    assert n[0] == len(starts) and np.allclose(sums[0] / n, whole.sum(axis=0) / n, atol=2e-3)
+    parts = [language.chains(at, 64, 12)]
+    covered = np.concatenate([np.arange(f + b, f + e) for f, _, _, b, e in zip(*parts[0], strict=True)])
+    assert sorted(covered.tolist()) == list(range(len(starts)))
