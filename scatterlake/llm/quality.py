@@ -100,11 +100,11 @@ def fit(texts: list[str | None], labels: np.ndarray, bits: int = BITS, epochs: i
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    """Fits on at most ``rows`` labelled documents, those with the least hash of doc_id, held-out ones left out."""
+    """Fits on at most ``rows`` labelled documents, those with the least hash of doc_id, held-out ones left out; of rows with one doc_id, on the least text."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas()
-    sample = sample.sort_values(["doc_id", "text"], kind="stable").iloc[:rows]
+    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).toPandas()
+    sample = sample.sort_values("doc_id", kind="stable")
     order = np.argsort(textops.keyed(sample["doc_id"].to_numpy(np.int64).view(np.uint64), 7), kind="stable")
     sample = sample.iloc[order]
     return fit(sample["text"].tolist(), sample["y"].to_numpy(np.float64))
