@@ -6,7 +6,9 @@ seeds, hosts most of whose pages are blocked are blocked seeds. Trust is the
 personalised PageRank of the trusted seeds along links between hosts; distrust
 is that of the blocked seeds against the links: who links to the blocked is
 doubted. Both are summed as the power series sum((1 - d) * d**k * s * W**k), a
-join and an aggregate a step over links counted by pair of hosts. A page without
+join and an aggregate a step over links counted by pair of hosts, until nothing
+is left to pass on or, after ``STEPS`` steps, less than 1e-6 of the mass: only a
+host whose distrust is that close to its bound could be judged otherwise. A page without
 a rule is blocked if its host's distrust is over ``RATIO`` times its trust.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased;
@@ -22,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scatterlake.llm.tables import checkpoint, table
+from scatterlake.llm.tables import checkpoint, join_counted, table
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-DAMPING, STEPS, RATIO, CUT = 0.85, 30, 1.0, 4
+DAMPING, STEPS, RATIO, CUT = 0.85, 90, 1.0, 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
@@ -79,12 +81,13 @@ def judged(pages: DataFrame, rules=RULES, ratio: float = RATIO) -> DataFrame:
     rule, verdict = ruled(rules, F.col("host"), F.col("path"))
     known = placed.withColumn("rule", rule).withColumn("own", verdict)
     count = lambda kind: F.count(F.when(F.col("own") == kind, 1))
-    hosts = checkpoint(known.where("host != ''").groupBy("host").agg(F.count("*").alias("n"), count("allow").alias("allowed"), count("block").alias("blocked")))
+    every = checkpoint(known.groupBy("host").agg(F.count("*").alias("n"), count("allow").alias("allowed"), count("block").alias("blocked")))
+    hosts = every.where("host != ''")
     links = checkpoint(host_links(pages))
     trust = spread(links, hosts.where("allowed > blocked and 2 * allowed > n"), "src", "dst").withColumnRenamed("mass", "trust")
     doubt = spread(links, hosts.where("blocked > allowed and 2 * blocked > n"), "dst", "src").withColumnRenamed("mass", "distrust")
-    scored = hosts.select("host").join(trust, "host", "left").join(doubt, "host", "left").na.fill(0.0)
-    return known.join(scored, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("own", F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
+    scored = checkpoint(every.select("host", "n").join(trust, "host", "left").join(doubt, "host", "left").na.fill(0.0))
+    return join_counted(known, scored, "host", "n").select("page_id", "host", "path", "rule", F.coalesce("own", F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
