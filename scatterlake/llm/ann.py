@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scatterlake.llm.similar import _bounds, _units
-from scatterlake.llm.tables import checkpoint, partitions, table
+from scatterlake.llm.tables import checkpoint, join_counted, partitions, table
 
 K, QUERY_STEP = 5, 50
 #: Documented bounds: of the sample, of the lists and of the queries that set the number of probes.
@@ -103,11 +103,8 @@ def scan(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, turn
         stretch = (1 + EPSILON / d**0.5) ** 2 if d < dim else 1.0
         keep = found * (dim / d) <= limit[at_q] * stretch
         at_q, at_x, found = at_q[keep], at_x[keep], found[keep]
-    known = np.zeros((len(q), len(x)), bool) if len(q) * len(x) <= 1 << 23 else None
-    if known is not None:
-        known[at_q, at_x] = True
-        known[np.repeat(np.arange(len(q)), first.shape[1]), first.ravel()] = True
-        at_q, at_x = np.nonzero(known)
+    sure = np.repeat(np.arange(len(q)), first.shape[1]) * len(x) + first.ravel()  # the first ones count whatever the tests said
+    at_q, at_x = np.divmod(np.union1d(at_q * len(x) + at_x, sure), len(x))
     a, b = np.asarray(vectors, np.float64), np.asarray(queries, np.float64)
     na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
     score = (a[at_x] * b[at_q]).sum(axis=1) / (na[at_x] * nb[at_q])
@@ -184,7 +181,8 @@ def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     listed = checkpoint(first.mapInArrow(assign, "vec_id long, v array<double>, list long"))
     chunks = listed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))  # at most LISTS rows
     queries = usable.where(is_query)
-    reps = queries.groupBy("v").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "v")
+    equal = checkpoint(queries.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    reps = equal.select(F.col("rep").alias("vec_id"), "v")
     hashed = F.xxhash64("vec_id")
 
     def look(asking: DataFrame, start: int, end: int) -> DataFrame:
@@ -208,7 +206,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
             break
         best = top(best.unionByName(look(short, done, 2 * done)))
         done *= 2
-    named = queries.select(F.col("vec_id").alias("query_id"), "v").join(reps.select(F.col("vec_id").alias("rep"), "v"), "v").select("query_id", "rep")
+    named = join_counted(queries.select(F.col("vec_id").alias("query_id"), "v"), equal, "v", "n").select("query_id", "rep")
     others = named.join(best, "rep").where("query_id != vec_id")
     ranked = others.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

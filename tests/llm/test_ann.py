@@ -78,3 +78,14 @@ def test_small_cells_still_give_k(spark, monkeypatch):
     assert got.keys() == want.keys() and all(len(v) == 5 for v in got.values())
     assert len(np.unique(seen[0], axis=0)) == len(seen[0]) == 261
     assert len(result(spark, rows[:4])[0]) == 3
+
+
+def test_scan_keeps_the_first_ones_in_large_blocks():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x, q = rng.standard_normal((9000, 8)), rng.standard_normal((1000, 8))
+    at, ids, score = ann.scan(x, np.arange(9000), q, 6, ann.rotation(8))
+    assert np.array_equal(np.bincount(at, minlength=1000), np.full(1000, 6))
+    true = np.sort((ann.unit(q) @ ann.unit(x).T), axis=1)[:, -6:]
+    assert (np.abs(np.sort(score.reshape(1000, 6), axis=1) - true) < 1e-9).mean() > 0.97
