@@ -24,7 +24,8 @@ nothing; rows with the same doc_id are one document repeated, neither earlier
 than the other, and each returns the union of their spans, clipped to its
 length; rows with null doc_id take no part and lose nothing; extra columns are
 ignored; an empty table gives an empty result. Equality rests on 64-bit hashes
-of 24 and of 100 to 176 bytes that must agree together; step 3 compares bytes.
+of 24 and of 100 to 176 bytes that must agree together, in step 4 of 24 and of 100;
+step 3 compares bytes.
 """
 
 from __future__ import annotations
@@ -118,6 +119,14 @@ def maximal_repeats(data: np.ndarray, first: np.ndarray, count: np.ndarray, doc:
     order = np.argsort(bucket, kind="stable")
     ordered = bucket[order]
     same = ordered[1:] == ordered[:-1]
+    before, after = place[order[:-1][same]], place[order[1:][same]]
+    if any(not np.array_equal(data[before + k], data[after + k]) for k in range(least)):
+        # different windows under one hash: number the windows of each group by their bytes
+        rows = np.column_stack([group[which].view(np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8), data[place[:, None] + np.arange(least)]])
+        bucket = np.unique(rows, axis=0, return_inverse=True)[1].ravel().astype(np.uint64)
+        order = np.argsort(bucket, kind="stable")
+        ordered = bucket[order]
+        same = ordered[1:] == ordered[:-1]
     many = np.zeros(len(order), bool)
     many[1:] |= same
     many[:-1] |= same
@@ -138,10 +147,6 @@ def maximal_repeats(data: np.ndarray, first: np.ndarray, count: np.ndarray, doc:
     order = np.lexsort((*keys[::-1], bucket))
     which, inside, place, bucket, rest = which[order], inside[order], place[order], bucket[order], rest[order]
     together = bucket[1:] == bucket[:-1]
-    a, b = place[:-1][together], place[1:][together]
-    for k in range(0, least):
-        if not np.array_equal(data[a + k], data[b + k]):
-            raise ValueError("two different windows have one 64-bit hash")
     lcp = np.zeros(len(place), np.int64)
     pair = np.flatnonzero(together)
     lcp[pair + 1] = least
@@ -218,7 +223,7 @@ def _cut(batches):
         gone = kind == 0
         spans = [(ids[owner[gone]], start[gone], other[gone])]
         rows = [], [], [], [], []
-        windows = [], [], []
+        windows = [], [], [], []
         for lo, hi, buf, offs in textops.slices(batch.column("text")):
             mine = np.flatnonzero((owner >= lo) & (owner < hi) & ~gone)
             mine = mine[start[mine] + count[mine] + WINDOW - 1 <= np.diff(offs)[owner[mine] - lo]]
@@ -240,18 +245,19 @@ def _cut(batches):
                 windows[0].append(textops.span_hash(textops.prefix_hash(buf), x[each] + inside, x[each] + inside + WINDOW))
                 windows[1].append(ids[owner[i]][each])
                 windows[2].append(start[i][each] + inside)
+                windows[3].append(key[i][each])
         if windows[0]:
-            h, doc, s = map(np.concatenate, windows)
-            order = np.lexsort((s, doc, h))
-            h, doc, s = h[order], doc[order], s[order]
+            h, doc, s, anchor = map(np.concatenate, windows)
+            order = np.lexsort((s, doc, anchor, h))
+            h, doc, s, anchor = h[order], doc[order], s[order], anchor[order]
             fresh = np.ones(len(h), bool)
-            fresh[1:] = h[1:] != h[:-1]
+            fresh[1:] = (h[1:] != h[:-1]) | (anchor[1:] != anchor[:-1])
             head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
             copy = ~fresh & ((doc != doc[head]) | (s != s[head]))
             spans.append((doc[copy], s[copy], s[copy] + WINDOW))
-            h, doc, s = h[fresh].view(np.int64), doc[fresh], s[fresh]
+            h, doc, s, anchor = h[fresh].view(np.int64), doc[fresh], s[fresh], anchor[fresh]
         else:
-            h = doc = s = np.zeros(0, np.int64)
+            h = doc = s = anchor = np.zeros(0, np.int64)
         d, b, e = merge(*map(np.concatenate, zip(*spans, strict=True)))
         n = len(d), len(rows[0]), len(h)
         yield _emit(
@@ -260,7 +266,7 @@ def _cut(batches):
                 np.repeat(np.arange(3, dtype=np.int32), n),
                 np.concatenate([d, np.array(rows[1], np.int64), doc]),
                 np.concatenate([b, np.array(rows[2], np.int64), s]),
-                np.concatenate([e, np.array(rows[3], np.int64), s + WINDOW]),
+                np.concatenate([e, np.array(rows[3], np.int64), anchor]),
                 pa.array([None] * n[0] + rows[4] + [None] * n[2], pa.binary()),
             ),
             ["k", "kind", "doc_id", "s", "e", "ctx"],
@@ -271,7 +277,7 @@ def _repeats(batches):
     """Steps 3 and 4 over rows sorted by kind, key, document and start; a group may go on in the next batch."""
     held: list = []
     size = 0
-    head = None  # of the windows with one hash: key, document, start
+    head = None  # of the windows with one pair of hashes: key, anchor, document, start
     names = ["doc_id", "s", "e"]
 
     def solve():
@@ -301,14 +307,14 @@ def _repeats(batches):
             size += take(held, key, doc, s, e, batch, part)
         two = kind == 2
         if two.any():
-            k2, d2, s2 = key[two], doc[two], s[two]
+            k2, a2, d2, s2 = key[two], e[two], doc[two], s[two]
             fresh = np.ones(len(k2), bool)
-            fresh[1:] = k2[1:] != k2[:-1]
-            if head is not None and head[0] == k2[0]:
+            fresh[1:] = (k2[1:] != k2[:-1]) | (a2[1:] != a2[:-1])
+            if head is not None and head[:2] == (k2[0], a2[0]):
                 fresh[0] = False
             at = np.maximum.accumulate(np.where(fresh, np.arange(len(k2)), -1))
-            d1, s1 = np.where(at < 0, head[1] if head else 0, d2[at]), np.where(at < 0, head[2] if head else 0, s2[at])
-            head = int(k2[-1]), int(d1[-1]), int(s1[-1])
+            d1, s1 = np.where(at < 0, head[2] if head else 0, d2[at]), np.where(at < 0, head[3] if head else 0, s2[at])
+            head = int(k2[-1]), int(a2[-1]), int(d1[-1]), int(s1[-1])
             copy = (d1 != d2) | (s1 != s2)
             yield _emit(merge(d2[copy], s2[copy], s2[copy] + WINDOW), names)
     if held:
@@ -350,7 +356,7 @@ def removed_spans(documents: DataFrame, contexts_held: int = CONTEXTS) -> DataFr
     )
     lists = pieces.groupBy("doc_id").agg(F.collect_list("piece").alias("pieces"))
     cut = texts.join(lists, "doc_id").select("doc_id", "text", "pieces").mapInArrow(_cut, _CUT)
-    dealt = cut.repartition(partitions(documents), "k").sortWithinPartitions("kind", "k", "doc_id", "s")
+    dealt = cut.repartition(partitions(documents), "k").sortWithinPartitions("kind", "k", F.when(F.col("kind") == 2, F.col("e")), "doc_id", "s")
     spans = dealt.mapInArrow(_repeats, "doc_id long, s long, e long")
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 

@@ -125,3 +125,20 @@ def test_maximal_repeats_list_all_occurrences():
     assert any(n == 110 and {1, 2, 3} <= {*d} for n, d, s in found)
     assert all(data.count(b"!") for _ in found)
     assert textops.SHINGLE_WORDS == 5
+
+
+def test_windows_under_one_hash_are_told_apart(monkeypatch):
+    """Every window gets the same 64-bit hash; the repeats are those that the bytes show."""
+    import numpy as np
+
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("abcd") for _ in range(130)) for _ in range(4)]
+    texts += [texts[0][:125] + "xyzxy", texts[1]]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    n = len(texts)
+    columns = np.arange(n) * 130, np.full(n, 31), np.arange(n), np.zeros(n, np.int64), np.array([7, 7, 7, 7, 7, 8])
+    want = sorted(suffix.maximal_repeats(data, *columns))
+    real = suffix.textops.span_hash
+    monkeypatch.setattr(suffix.textops, "span_hash", lambda *a: np.zeros_like(real(*a)))
+    assert sorted(suffix.maximal_repeats(data, *columns)) == want
+    assert (125, [0, 4], [0, 0]) in want and not any(5 in docs for _, docs, _ in want)
