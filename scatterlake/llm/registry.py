@@ -8,7 +8,6 @@ QUERIES = {
     "op1_ann": ann.op1_ann,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_paragraphs": paragraphs.op3_paragraphs,
-    "op3_passages": paragraphs.op3_passages,
     "op4_suffix": suffix.op4_suffix,
     "op5_pieces": pieces.op5_pieces,
     "op6_forest": forest.op6_forest,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +20,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(frame: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared checkpoint folder the session names; a folder of our own only where it names none."""
+def _shared(frame: DataFrame) -> str:
+    """The shared folder for cut lineage that the session names; a temporary one only where it names none and all runs on one machine."""
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(frame: DataFrame) -> DataFrame:
+    """Cuts lineage in the shared checkpoint folder."""
+    _shared(frame)
     return frame.checkpoint()
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """Cuts lineage by a Parquet table in the shared folder: smaller than a checkpoint, and later scans read only their columns."""
+    path = f"{_shared(frame)}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a checkpointed frame for broadcast if it has at most so many rows; otherwise joins shuffle."""
     return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
@@ -37,16 +54,17 @@ def partitions(frame: DataFrame) -> int:
 
 
 def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, share: int = 1000) -> DataFrame:
-    """Inner join of rows with a table of one row a key that counts the key's rows.
+    """Inner join of rows with a checkpointed table of one row a key that counts the key's rows.
 
-    Keys with over 1/share of all rows are fewer than ``share``, so their part of the
-    table is broadcast and their rows stay where they are; the others shuffle.
+    Keys with over 1/share of all rows are fewer than ``share``. They are broadcast, their
+    rows are dealt out by a hash of the whole row, and their row of the table goes to each part.
     """
     total = table.agg(F.sum(count)).first()[0] or 0
-    hot = F.col(count) * share > total
-    crowded = F.broadcast(table.where(hot))
-    rest = rows.join(crowded.select(key), key, "left_anti").join(table.where(~hot), key)
-    return rows.join(crowded, key).unionByName(rest)
+    part, parts = fresh(rows.join(table.limit(0), key), "part", "parts")
+    crowded = table.where(F.col(count) * share > total).select(key, F.ceil(F.col(count) * share / max(total, 1)).cast("long").alias(parts))
+    dealt = rows.join(F.broadcast(crowded), key, "left").withColumn(part, F.pmod(F.xxhash64(*rows.columns, F.lit(5)), F.coalesce(F.col(parts), F.lit(1)))).drop(parts)
+    last = F.when(F.col(count) * share > total, F.ceil(F.col(count) * share / max(total, 1)).cast("long") - 1).otherwise(0)
+    return dealt.join(table.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), last))), [key, part]).drop(part)
 
 
 def fresh(frame: DataFrame, *names: str) -> list[str]:
