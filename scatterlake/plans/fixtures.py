@@ -74,7 +74,7 @@ points0 AS (SELECT vec_id AS ps_id, (label + 1)::INT AS patch_id, (vec_id // 25)
   100 * embedding[3]::DOUBLE AS height, 0.2::DOUBLE + abs(embedding[4]::DOUBLE) AS d_a, least(0.99::DOUBLE, 3.0::DOUBLE * abs(embedding[5]::DOUBLE)) AS coh FROM embeddings),
 points AS (SELECT ps_id, patch_id, "row", col, x, y, round(12.0::DOUBLE + x / 90000, 9) AS lon, round(45.0::DOUBLE + y / 111000, 9) AS lat, height, d_a, coh FROM points0),
 angles0 AS (SELECT vec_id AS ps_id, ifg_ix, 10.0::DOUBLE * embedding[ifg_ix]::DOUBLE + {PI} AS v FROM embeddings, ifgs),
-angles AS (SELECT ps_id, ifg_ix, v - {TAU} * floor(v / {TAU}) - {PI} AS angle FROM angles0),
+angles AS MATERIALIZED (SELECT ps_id, ifg_ix, v - {TAU} * floor(v / {TAU}) - {PI} AS angle FROM angles0),
 phase AS (SELECT ps_id, ifg_ix, cos(angle) AS re, sin(angle) AS im FROM angles),
 fits AS (SELECT vec_id AS ps_id, 0.1::DOUBLE * embedding[21]::DOUBLE AS k, 5.0::DOUBLE * embedding[22]::DOUBLE AS c, least(0.99::DOUBLE, 3.0::DOUBLE * abs(embedding[5]::DOUBLE)) AS coh FROM embeddings),
 edges AS (SELECT e.vec_id * 100 + s AS edge_id, e.vec_id AS a, e.vec_id + s AS b FROM embeddings e, (VALUES (1), (25)) t(s) WHERE e.vec_id + s IN (SELECT vec_id FROM embeddings))
