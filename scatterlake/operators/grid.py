@@ -89,7 +89,7 @@ def nearest(queries: DataFrame, known: DataFrame, size: float) -> DataFrame:
         if left.isEmpty():
             return out
         width *= 2
-    return out
+    raise ValueError(f"queries without a known place within {width / 2}")
 
 
 def raster_edges(cells_: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def low_pass_response(size: int, cell: float, wavelength: float, order: int = 5) -> np.ndarray:
@@ -90,14 +91,14 @@ def goldstein(grid: np.ndarray, size: int = 32, alpha: float = 0.8, keep_amplitu
     return out, filtered(np.nan_to_num(grid), size, max(1, size // 2), lambda z: np.fft.ifft2(np.fft.fft2(z) * response), window_weight(size))
 
 
-def without_own_cell(grid: np.ndarray, own: np.ndarray, at: tuple[int, int], size: int, **how) -> complex:
-    """Filtered value at a point's cell of the window around it, the point's own contribution taken out."""
+def without_own_cell(grid: np.ndarray, at: tuple[int, int], size: int, **how) -> complex:
+    """Filtered value at a cell of the window around it, the cell itself emptied; 0 if the grid is smaller than a window."""
+    if min(grid.shape) < size:
+        return 0j
     i, j = (min(max(0, a - size // 2), max(0, n - size)) for a, n in zip(at, grid.shape, strict=True))
     z = grid[i : i + size, j : j + size].copy()
     a, b = at[0] - i, at[1] - j
-    z[a, b] -= own
-    if z.shape != (size, size):
-        return 0j
+    z[a, b] = 0
     low, kernel = low_pass_response(size, how.get("cell", 50.0), how.get("wavelength", 800.0)), _kernel(size)
     return complex(clap_window(z, how.get("alpha", 1.0), how.get("beta", 0.3), low, kernel)[a, b])
 
@@ -114,3 +115,17 @@ def filter_stack(cells: DataFrame, kind: str = "clap", size: int = 8, **how) ->
         return p[["patch_id", "ifg_ix", "gi", "gj"]].assign(re=out[i, j].real, im=out[i, j].imag)
 
     return cells.groupBy("patch_id", "ifg_ix").applyInPandas(run, "patch_id int, ifg_ix long, gi int, gj int, re double, im double")
+
+
+def without_own_cells(cells: DataFrame, wanted: DataFrame, size: int = 8, **how) -> DataFrame:
+    """(patch_id, ifg_ix, gi, gj, re, im) of the wanted cells (patch_id, gi, gj), each refiltered in its window without itself; a patch and a date are a group."""
+    marked = cells.join(wanted.select("patch_id", "gi", "gj").distinct().withColumn("wanted", F.lit(True)), ["patch_id", "gi", "gj"], "left")
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        grid = np.zeros((p["gi"].max() + 1, p["gj"].max() + 1), complex)
+        grid[p["gi"], p["gj"]] = p["re"] + 1j * p["im"]
+        asked = p[p["wanted"].notna()]
+        z = np.array([without_own_cell(grid, (int(i), int(j)), size, **how) for i, j in zip(asked["gi"], asked["gj"], strict=True)], complex)
+        return asked[["patch_id", "ifg_ix", "gi", "gj"]].assign(re=z.real, im=z.imag)
+
+    return marked.groupBy("patch_id", "ifg_ix").applyInPandas(run, "patch_id int, ifg_ix long, gi int, gj int, re double, im double")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -444,19 +443,10 @@ def x13(spark, sf):
 
 @query("h9_without_own_cell")
 def h9(spark, sf):
-    """Each point's cell refiltered in its window without the point; a patch and a date are a group."""
+    """Each point's cell refiltered in its window without itself."""
     placed, cells = cells_of(spark, sf, 50.0)
-    own = X.phase(spark, sf).join(placed.select("ps_id", "patch_id", "gi", "gj"), "ps_id")
-    both = cells.select("patch_id", "ifg_ix", F.lit(None).cast("long").alias("ps_id"), "gi", "gj", "re", "im").unionByName(own.select("patch_id", "ifg_ix", "ps_id", "gi", "gj", "re", "im"))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        c, o = p[p["ps_id"].isna()], p[p["ps_id"].notna()]
-        g = np.zeros((max(8, int(p["gi"].max()) + 1), max(8, int(p["gj"].max()) + 1)), complex)
-        g[c["gi"], c["gj"]] = c["re"] + 1j * c["im"]
-        z = [spectral.without_own_cell(g, complex(a, b), (int(i), int(j)), 8) for a, b, i, j in zip(o["re"], o["im"], o["gi"], o["gj"], strict=True)]
-        return pd.DataFrame({"ps_id": o["ps_id"].astype(int), "ifg_ix": o["ifg_ix"], "re": [x.real for x in z], "im": [x.imag for x in z]})
-
-    return both.groupBy("patch_id", "ifg_ix").applyInPandas(run, "ps_id long, ifg_ix long, re double, im double")
+    filtered = spectral.without_own_cells(cells, placed, 8)
+    return placed.select("ps_id", "patch_id", "gi", "gj").join(filtered, ["patch_id", "gi", "gj"]).select("ps_id", "ifg_ix", "re", "im")
 
 
 # ---------------------------------------------------------------- verification and diagnostics

@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scatterlake.functions.phase import cpx
@@ -28,27 +29,35 @@ def load_points(store: Store, params: Params, source: dict[str, DataFrame]) -> d
     return {"points": ids, "phase": phase.join(ids.select("ps_id"), "ps_id", "left_semi"), "ifgs": ifgs}
 
 
+def unit_series(phase: DataFrame, ifgs: DataFrame) -> DataFrame:
+    """Unit phasors of the phase on these dates."""
+    u = phasor(cpx("re", "im"))
+    return phase.join(F.broadcast(ifgs.select("ifg_ix")), "ifg_ix", "left_semi").withColumns({"re": u.re, "im": u.im})
+
+
+def without_patch(phase: DataFrame, patch: DataFrame) -> DataFrame:
+    """The phase times the conjugate of the filtered phase of each point's surroundings."""
+    p = patch.select("ps_id", "ifg_ix", F.col("re").alias("pr"), F.col("im").alias("pi"))
+    return phase.join(p, ["ps_id", "ifg_ix"]).select("ps_id", "ifg_ix", F.expr("re * pr + im * pi").alias("re"), F.expr("im * pr - re * pi").alias("im"))
+
+
 def estimate(store: Store, params: Params) -> dict[str, DataFrame]:
     """Stage 2: fixed point of gridding, filtering and fitting; a table is written per round, so plans stay short."""
     points, phase, ifgs = (store.read(n) for n in ("points", "phase", "ifgs"))
     wraps, rounds = params.scalar("n_trial_wraps", 1.0), int(params.scalar("gamma_max_iterations", 3))
     base = np.array([r["bperp"] for r in ifgs.where("not is_master").orderBy("ifg_ix").select("bperp").collect()], float)
     others = ifgs.where("not is_master")
-    own = phase.join(F.broadcast(others.select("ifg_ix")), "ifg_ix", "left_semi")
-    u = phasor(cpx("re", "im"))
-    own = own.withColumns({"re": u.re, "im": u.im})
+    own = unit_series(phase, others)
     rows = int(params.scalar("random_samples", 20_000))
     random = store.cached("random", f"{rows}-{hashlib.sha256(str((wraps, base.tolist())).encode()).hexdigest()[:16]}", lambda: store.spark.createDataFrame([(b, float(n)) for b, n in enumerate(fit.random_histogram(base, wraps, rows))], "bin int, n double"))
     chance = np.array([r["n"] for r in random.orderBy("bin").collect()])
     placed = grid.cells(points, params.scalar("filter_grid_size", 50.0)).withColumn("weight", F.lit(1.0))
     before, change = None, math.inf
     for k in range(rounds):
-        cells = spectral.filter_stack(grid.accumulate(own, placed, "weight"), "clap", int(params.scalar("clap_win", 8)))
-        patch = grid.at_points(cells, placed)
-        p = patch.select("ps_id", "ifg_ix", F.col("re").alias("pr"), F.col("im").alias("pi"))
-        rest = own.join(p, ["ps_id", "ifg_ix"]).select("ps_id", "ifg_ix", F.expr("re * pr + im * pi").alias("re"), F.expr("im * pr - re * pi").alias("im"))
+        sums = grid.accumulate(own, placed, "weight")
+        cells = spectral.filter_stack(sums, "clap", int(params.scalar("clap_win", 8)))
         name = f"fit_round_{k}"
-        store.write({name: fit.topofit(rest, others, wraps)})
+        store.write({name: fit.topofit(without_patch(own, grid.at_points(cells, placed)), others, wraps)})
         now = store.read(name)
         if before is not None:
             rms = fit.coherence_change(now, before).first()["rms"] or 0.0
@@ -62,15 +71,38 @@ def estimate(store: Store, params: Params) -> dict[str, DataFrame]:
         coh = now.select("ps_id", slot.alias("slot")).join(F.broadcast(weights), "slot").select("ps_id", F.col("w").alias("weight"))
         placed = placed.drop("weight").join(coh, "ps_id")
         before = now
-    return {"fit": now, "random_hist": random}
+    return {"fit": now, "random_hist": random, "cells": placed.select("ps_id", "patch_id", "gi", "gj"), "cell_sums": sums}
 
 
 def select(store: Store, params: Params) -> dict[str, DataFrame]:
-    """Stage 3: coherence thresholds by dispersion; strictly over them stays."""
+    """Stage 3: coherence thresholds by dispersion; points strictly over them are fitted again without their own cell.
+
+    After that (unless a flag turns it off) a point stays if its new coherence is
+    strictly over the thresholds of all points' newest coherences and its slope
+    moved by less than a cycle over the baselines. A point that is zero on a date,
+    or whose grid is smaller than a window, has no second fit and goes.
+    """
     points = store.read("points").join(store.read("fit"), ["ps_id"])
     random = np.array([r["n"] for r in store.read("random_hist").orderBy("bin").collect()])
-    slope, intercept = fit.coherence_thresholds(points, fit.dispersion_bins(points), random, params.scalar("percent_rand", 20.0), params.text("select_method", "percent") == "percent")
-    return {"selection": fit.selected(points, slope, intercept).select("patch_id", "ps_id", "k", "c", "coh", "thresh")}
+    bins = fit.dispersion_bins(points)
+    line = lambda of: fit.coherence_thresholds(of, bins, random, params.scalar("percent_rand", 20.0), params.text("select_method", "percent") == "percent")
+    columns = ["patch_id", "ps_id", "k", "c", "coh", "thresh"]
+    first = fit.selected(points, *line(points))
+    if not (params.flag("quick_est_gamma_flag", True) and params.flag("select_reest_gamma_flag", True)):
+        return {"selection": first.select(columns)}
+    others = store.read("ifgs").where("not is_master")
+    placed = store.read("cells").join(first.select("ps_id"), "ps_id", "left_semi")
+    cells = spectral.without_own_cells(store.read("cell_sums"), placed, int(params.scalar("clap_win", 8)))
+    rest = without_patch(unit_series(store.read("phase"), others), grid.at_points(cells, placed))
+    full = rest.withColumn("least", F.min(F.hypot("re", "im")).over(W.partitionBy("ps_id"))).where("least > 0").drop("least")
+    store.write({"fit_again": fit.topofit(full, others, params.scalar("n_trial_wraps", 1.0))})
+    again = store.read("fit_again")
+    newest = points.join(first.select("ps_id", F.lit(True).alias("first")), "ps_id", "left").join(again.select("ps_id", F.col("coh").alias("coh2")), "ps_id", "left")
+    slope, intercept = line(newest.withColumn("coh", F.when(F.col("first"), F.col("coh2")).otherwise(F.col("coh"))))
+    span = others.agg((F.max("bperp") - F.min("bperp")).alias("s")).first()["s"] or 1.0
+    judged = first.withColumn("thresh", F.greatest(slope * F.col("d_a") + intercept, F.lit(0.0)))
+    kept = fit.reestimated(judged, again, span).where("keep").select("ps_id", "thresh")
+    return {"selection": first.select("patch_id", "ps_id").join(kept, "ps_id").join(again, "ps_id").select(columns)}
 
 
 def weeding(store: Store, params: Params) -> dict[str, DataFrame]:

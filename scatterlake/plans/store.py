@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 MARKERS = ("points", "fit", "selection", "weed", "scene", "unwrapped", "scla", "scn")
 #: What a stage's rerun makes stale; smoothed scene terms feed unwrapping back and outlive its rerun.
 RESULTS = {
-    1: ("points", "phase", "ifgs"), 2: ("fit", "random_hist"), 3: ("selection",), 4: ("weed", "edges"),
+    1: ("points", "phase", "ifgs"), 2: ("fit", "random_hist", "cells", "cell_sums"), 3: ("selection", "fit_again"), 4: ("weed", "edges"),
     5: ("scene", "scene_phase", "ifg_std"), 6: ("uw_cells", "unwrapped"), 7: ("scla", "scla_smooth"), 8: ("scn",),
 }
 FEEDBACK = ("scla_smooth",)

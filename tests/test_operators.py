@@ -216,3 +216,22 @@ def test_interpolation_passes_through_smooth_samples():
     x = np.sin(np.linspace(0, 4, 50))
     fine = fit.interpolate(x)
     assert len(fine) == 500 and np.abs(fine[100:400:10] - x[10:40]).max() < 0.02
+
+
+def test_cells_refiltered_without_themselves(spark):
+    rng = np.random.default_rng(8)
+    g = rng.normal(size=(2, 9, 7)) + 1j * rng.normal(size=(2, 9, 7))
+    rows = [(1, d, i, j, float(g[d, i, j].real), float(g[d, i, j].imag)) for d in (0, 1) for i in range(9) for j in range(7)]
+    cells = spark.createDataFrame(rows, "patch_id int, ifg_ix long, gi int, gj int, re double, im double")
+    wanted = spark.createDataFrame([(1, i, j) for i in range(9) for j in (0, 3, 6)] * 2, "patch_id int, gi int, gj int")
+    # without the adaptive part and with a low-pass that only the mean passes, a value is its window's mean without the cell
+    how = {"beta": 0.0, "wavelength": 1e9}
+    got = {(r.ifg_ix, r.gi, r.gj): complex(r.re, r.im) for r in spectral.without_own_cells(cells, wanted, 4, **how).collect()}
+    want = {}
+    for d in (0, 1):
+        for i in range(9):
+            for j in (0, 3, 6):
+                a, b = min(max(0, i - 2), 5), min(max(0, j - 2), 3)
+                want[d, i, j] = (g[d, a : a + 4, b : b + 4].sum() - g[d, i, j]) / 16
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert not any(complex(r.re, r.im) for r in spectral.without_own_cells(cells, wanted, 8, **how).collect())

@@ -73,6 +73,9 @@ def test_stages_end_to_end(spark, tmp_path, capsys):
     log = run(store, config, source(spark)).collect()
     assert [(r.stage, r.status) for r in log] == [(k, "completed") for k in range(1, 9)], log
     assert store.status() == 8 and all(store.exists(m) for m in MARKERS)
+    chosen, again, first = (store.read(n) for n in ("selection", "fit_again", "fit"))
+    assert chosen.count() == chosen.join(again, ["ps_id", "k", "c", "coh"]).where("coh > thresh").count() > 0
+    assert again.count() < first.count() and chosen.join(first, ["ps_id", "coh"]).count() == 0  # refitted without their own cell
     scene, scn = store.read("scene"), store.read("scn")
     assert scene.count() > 40 and scn.count() == scene.count() * 11
     assert scn.where(F.isnan("ph_scn") | F.col("ph_scn").isNull()).count() == 0
