@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of rows, counted before each use, that an operator here broadcasts.
-BROADCAST_ROWS = 100_000
+#: Largest number of rows, and of bytes written as JSON, that an operator here broadcasts; both are counted before each use.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 128 << 20
 
 
 def held_out() -> Column:
@@ -45,8 +45,10 @@ def stored(frame: DataFrame) -> DataFrame:
 
 
 def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a checkpointed frame for broadcast if it has at most so many rows; otherwise joins shuffle."""
-    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+    """Marks a checkpointed frame for broadcast if it has at most so many rows and bytes; otherwise joins shuffle."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")
+    held = frame.limit(rows + 1).agg(F.count("*").alias("rows"), size).first()
+    return F.broadcast(frame) if held["rows"] <= rows and (held["bytes"] or 0) <= BROADCAST_BYTES else frame
 
 
 def partitions(frame: DataFrame) -> int:
