@@ -1,24 +1,31 @@
 import random
+import re
 
 import pytest
 
 from scatterlake.llm import decontaminate
-from tests.llm.test_forest import sets
+from scatterlake.llm import tables as tables_module
+
+
+def runs(text, width):
+    words = re.findall("[0-9a-z\u0080-\U0010ffff]+", (text or "").lower())
+    width = min(width, len(words)) if width == 5 else width
+    return frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1)) if width else frozenset()
 
 
 def expected(docs, items, threshold=0.8):
     known = {}
     for i, t in items:
-        grams = sets(t)
-        if i is not None and grams and all(len(g) == 5 for g in grams):
-            known.setdefault(grams, []).append(i)
+        grams = runs(t, 5)
+        if i is not None and grams:
+            known.setdefault(grams, set()).add(i)
     out = {}
     for d, t in docs:
-        grams = sets(t)
+        own = {k: runs(t, k) for k in range(1, 6)}
         for g, ids in known.items():
-            share = len(g & grams) / len(g)
+            share = len(g & own[len(next(iter(g)))]) / len(g)
             if d is not None and share >= threshold:
-                key = d, min(ids), len(set(ids))
+                key = d, min(ids), len(ids)
                 out[key] = max(out.get(key, 0), round(share, 9))
     return out
 
@@ -28,7 +35,7 @@ def tables():
     rnd = random.Random(5)
     word = lambda: f"w{rnd.randrange(3000)}"
     items = [(k, " ".join(word() for _ in range(rnd.choice([5, 6, 9, 20, 60, 300])))) for k in range(60)]
-    items += [(100, None), (101, ""), (102, "one two three"), (103, items[0][1].upper() + "!"), (None, "a b c d e f"), (104, "Ä ö ü ß é è")]
+    items += [(100, None), (101, ""), (102, "one two three"), (105, "Three, ONE"), (106, "w7"), (107, "one; two -- three"), (108, "four five six seven"), (109, "!?"), (103, items[0][1].upper() + "!"), (None, "a b c d e f"), (104, "Ä ö ü ß é è")]
     docs = []
     for d in range(150):
         words = [word() for _ in range(rnd.choice([0, 3, 50, 2000]))]
@@ -40,6 +47,7 @@ def tables():
             words[at:at] = part
         docs.append((d, " ".join(words)))
     docs += [(500, None), (501, ""), (None, items[1][1]), (3, items[2][1]), (502, "ä Ö, ü ß; é -- è"), (502, "ä Ö, ü ß; é -- è")]
+    docs += [(510, "x one two three four"), (511, "one two"), (512, "w7"), (513, "w7x three one"), (514, "four five six eight seven"), (515, "four five six seven")]
     return docs, items
 
 
@@ -71,3 +79,20 @@ def test_stage_drops_leaked_documents(spark, tables, tmp_path):
     kept = decontaminate.drop_leaked(spark, frame, str(tmp_path))
     leaked = {d for d, _, _ in expected(docs, items)}
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, _ in docs if d not in leaked)
+
+
+def test_very_long_text(spark):
+    rnd = random.Random(9)
+    words = [f"v{rnd.randrange(10**6)}" for _ in range(400_000)]
+    items = [(1, " ".join(words[300_000:300_007])), (2, " ".join(words[200_000:200_500])), (3, " ".join(words[-2:])), (4, " ".join(words[5:40:2]))]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:1000]))]
+    got = {(r.doc_id, r.item_id, r.n_items): round(r.containment, 9) for r in decontaminate.contained(*frames(spark, docs, items)).collect()}
+    assert got == {(1, 1, 1): 1, (1, 2, 1): 1, (1, 3, 1): 1}
+
+
+def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch):
+    frame = spark.createDataFrame([(1, "a" * 5000, [1, 2])], "a long, b string, c array<long>")
+    hinted = lambda: "ResolvedHint" in tables_module.small(frame)._jdf.queryExecution().analyzed().toString()
+    assert hinted()
+    monkeypatch.setattr(tables_module, "BROADCAST_BYTES", 5000)
+    assert not hinted()
