@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from scatterlake.functions.phase import cpx
 from scatterlake.functions.phase import unit as phasor
-from scatterlake.operators import fit, grid, merge, prep, scene, spectral, unwrap, weed
+from scatterlake.operators import fit, grid, merge, network, prep, scene, spacetime, spectral, weed
 from scatterlake.plans.config import Params, RunConfig, refuse
-from scatterlake.plans.store import MARKERS, Store
+from scatterlake.plans.store import MARKERS, Store, fingerprint
 
 
 def load_points(store: Store, params: Params, source: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -137,13 +137,40 @@ def merging(store: Store, params: Params) -> dict[str, DataFrame]:
 
 
 def unwrapping(store: Store, params: Params) -> dict[str, DataFrame]:
-    """Stage 6: grid, unwrap every date on its own, bring back to points."""
+    """Stage 6: grid, filter, edges between nearest occupied cells smoothed in time, costs, every date solved on its own, back to points.
+
+    Solved dates are kept under a fingerprint of what they come from, so a run that
+    broke off goes on with the dates that are missing.
+    """
     points, ifgs = store.read("scene").withColumn("patch_id", F.lit(0)), store.read("ifgs")
-    phase = merge.to_unwrap(store.read("scene_phase"), points, ifgs, store.read("scla_smooth") if store.exists("scla_smooth") else None)
-    solve = phase.join(F.broadcast(ifgs.where("not is_master").select("ifg_ix")), "ifg_ix", "left_semi")
-    placed = grid.cells(points, params.scalar("unwrap_grid_size", 200.0), 1e-3)
-    cells = grid.accumulate(solve, placed).select("patch_id", "gi", "gj", F.col("ifg_ix").cast("long").alias("ifg_ix"), F.atan2("im", "re").alias("ph"))
-    solved = unwrap.unwrap(cells)
+    scla = store.read("scla_smooth") if store.exists("scla_smooth") else None
+    phase = merge.to_unwrap(store.read("scene_phase"), points, ifgs, scla)
+    others = ifgs.where("not is_master")
+    solve = phase.join(F.broadcast(others.select("ifg_ix")), "ifg_ix", "left_semi")
+    size = params.scalar("unwrap_grid_size", 200.0) * params.scalar("stage6_grid_scale", 1.0)
+    placed = grid.cells(points, size, 1e-3)
+    sums = grid.accumulate(solve, placed)
+    if params.flag("unwrap_prefilter_flag", True):
+        sums = spectral.filter_stack(sums, "goldstein", int(params.scalar("unwrap_gold_n_win", 32)), alpha=params.scalar("unwrap_gold_alpha", 0.8))
+    box = placed.agg((F.max("gi") + 1).alias("rows"), (F.max("gj") + 1).alias("cols")).first()
+    store.write({"uw_grid": network.nodes(sums, box["rows"]).withColumn("ifg_ix", F.col("ifg_ix").cast("long"))})
+    cells = store.read("uw_grid")
+    store.write({"uw_raster": network.raster(cells.select("gi", "gj", "node").distinct(), box["rows"], box["cols"])})
+    store.write({"uw_edges": network.edges(store.read("uw_raster"))})
+    edge = weed.edge_phase(store.read("uw_edges"), cells.select(F.col("node").alias("ps_id"), "ifg_ix", "re", "im"), True)
+    window, wraps, master = params.scalar("unwrap_time_win", 730.0), params.scalar("n_trial_wraps", 1.0), ifgs.where("is_master").first()["day"]
+    store.write({"uw_smooth": spacetime.smoothed_edges(edge, others, window, wraps, master)})
+    smoothed = store.read("uw_smooth")
+    store.write({"uw_costs": network.with_variances(network.steps(store.read("uw_raster"), store.read("uw_edges")), smoothed), "uw_offsets": network.edge_offsets(edge, smoothed)})
+    angles = cells.select("node", "ifg_ix", F.atan2("im", "re").alias("ph"))
+    sources = [points, store.read("scene_phase"), ifgs, *([scla] if scla else [])]
+    settings = [size, window, wraps, *(str(params.values.get(n)) for n in ("unwrap_prefilter_flag", "unwrap_gold_n_win", "unwrap_gold_alpha"))]
+    done = store.resumable("uw_dates", hashlib.sha256(str([*map(fingerprint, sources), *settings]).encode()).hexdigest()[:16])
+    left = sorted(r["ifg_ix"] for r in store.missing(done, others.select(F.col("ifg_ix").cast("long").alias("ifg_ix")), "ifg_ix").collect())
+    batch = max(1, store.spark.sparkContext.defaultParallelism)
+    for k in range(0, len(left), batch):
+        store.append(done, network.solve(store.read("uw_costs"), angles.where(F.col("ifg_ix").isin(left[k : k + batch])), store.read("uw_offsets")))
+    solved = store.read(done)
     back = grid.restore(solve, placed, solved).select("ps_id", "ifg_ix", F.col("ph_uw").alias("ph"))
     full = phase.select("ps_id", "ifg_ix", "offset").join(back, ["ps_id", "ifg_ix"], "left").select("ps_id", "ifg_ix", F.coalesce(F.col("ph") + F.col("offset"), F.lit(0.0)).alias("ph"))
     return {"uw_cells": solved, "unwrapped": full}
@@ -176,7 +203,7 @@ STAGES = {1: load_points, 2: estimate, 3: select, 4: weeding, 5: merging, 6: unw
 
 def run(store: Store, config: RunConfig, source: dict[str, DataFrame]) -> DataFrame:
     """Runs stages in order; returns the run log (stage, status, seconds, detail); the first failure ends it."""
-    params = Params(config.params)
+    params = Params({**config.params, "stage6_grid_scale": config.grid_scale})
     refuse(params)
     log, known = [], store.status()
     for stage in range(max(1, config.start_step), config.end_step + 1):

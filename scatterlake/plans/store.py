@@ -13,7 +13,7 @@ MARKERS = ("points", "fit", "selection", "weed", "scene", "unwrapped", "scla", "
 #: What a stage's rerun makes stale; smoothed scene terms feed unwrapping back and outlive its rerun.
 RESULTS = {
     1: ("points", "phase", "ifgs"), 2: ("fit", "random_hist", "cells", "cell_sums"), 3: ("selection", "fit_again"), 4: ("weed", "edges"),
-    5: ("scene", "scene_phase", "ifg_std"), 6: ("uw_cells", "unwrapped"), 7: ("scla", "scla_smooth"), 8: ("scn",),
+    5: ("scene", "scene_phase", "ifg_std"), 6: ("uw_cells", "unwrapped", "uw_grid", "uw_raster", "uw_edges", "uw_smooth", "uw_costs", "uw_offsets"), 7: ("scla", "scla_smooth"), 8: ("scn",),
 }
 FEEDBACK = ("scla_smooth",)
 
@@ -70,17 +70,25 @@ class Store:
         for n in names:
             self._fs.delete(self._path(n), True)
 
+    def resumable(self, name: str, key: str) -> str:
+        """The name of the cache under this key; those under another key go."""
+        at, cache = f"{name}-{key}", self._path("cache")
+        for s in self._fs.listStatus(cache) if self._fs.exists(cache) else []:
+            if s.getPath().getName().startswith(f"{name}-") and s.getPath().getName() != at:
+                self._fs.delete(s.getPath(), True)
+        return f"cache/{at}"
+
     def cached(self, name: str, key: str, build) -> DataFrame:
         """The table built before under this key, else built now; another key's table goes."""
-        at = f"cache/{name}-{key}"
+        at = self.resumable(name, key)
         if not self.exists(at):
-            old = self._path("cache")
-            for s in self._fs.listStatus(old) if self._fs.exists(old) else []:
-                if s.getPath().getName().startswith(f"{name}-"):
-                    self._fs.delete(s.getPath(), True)
             build().write.mode("overwrite").parquet(f"{self.root}/{at}")
         return self.read(at)
 
+    def append(self, name: str, frame: DataFrame) -> None:
+        """Adds rows; a unit that is made by one task is there whole or not at all."""
+        frame.write.mode("append").parquet(f"{self.root}/{name}")
+
     def missing(self, name: str, wanted: DataFrame, key: str) -> DataFrame:
         """The units of a resumable table that aren't there yet."""
         return wanted.join(self.read(name).select(key).distinct(), key, "left_anti") if self.exists(name) else wanted

@@ -4,9 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scatterlake.functions import geometry
-from scatterlake.operators import fit, grid, prep, scene, series, spacetime, spectral, unwrap, weed
+from scatterlake.operators import fit, grid, network, prep, scene, series, spacetime, spectral, unwrap, weed
 
 RNG = np.random.default_rng(4)
 
@@ -235,3 +236,67 @@ def test_cells_refiltered_without_themselves(spark):
                 want[d, i, j] = (g[d, a : a + 4, b : b + 4].sum() - g[d, i, j]) / 16
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert not any(complex(r.re, r.im) for r in spectral.without_own_cells(cells, wanted, 8, **how).collect())
+
+
+def network_of(spark, rows, cols, at, truth, days, bperp=None):
+    """Raster, edges, smoothed edges, costs, offsets and phase of nodes at these cells whose true phase is truth(cell, date)."""
+    occupied = network.nodes(spark.createDataFrame(at, "gi int, gj int"), rows)
+    found = network.raster(occupied, rows, cols).persist()
+    links = network.edges(found).persist()
+    series = [(n.node, d + 1, truth((n.gi, n.gj), d)) for n in occupied.collect() for d in range(len(days))]
+    phase = spark.createDataFrame(series, "ps_id long, ifg_ix long, v double")
+    phasors = phase.select("ps_id", "ifg_ix", F.cos("v").alias("re"), F.sin("v").alias("im"))
+    edge = weed.edge_phase(links, phasors, True)
+    ifgs = spark.createDataFrame([(d + 1, float(t), float((bperp or [0.0] * len(days))[d])) for d, t in enumerate(days)], "ifg_ix long, day double, bperp double")
+    smoothed = spacetime.smoothed_edges(edge, ifgs, 30.0, 0.5, 0.0).persist()
+    costed = network.with_variances(network.steps(found, links), smoothed)
+    return found, links, smoothed, costed, network.edge_offsets(edge, smoothed), phasors.select(F.col("ps_id").alias("node"), "ifg_ix", F.atan2("im", "re").alias("ph"))
+
+
+def test_network_nearest_edges_and_uses(spark):
+    import itertools
+
+    rows, cols, at = 5, 6, [(0, 0), (4, 1), (2, 4), (0, 5)]
+    found, links, _, costed, _, _ = network_of(spark, rows, cols, at, lambda c, d: 0.1 * c[1] + 0.01 * d, range(-40, 41, 10))
+    near = {(i, j): min(((i - a) ** 2 + (j - b) ** 2, b * rows + a + 1) for a, b in at)[1] for i, j in itertools.product(range(rows), range(cols))}
+    assert {(r.gi, r.gj): r.node for r in found.collect()} == near
+    assert {(r.gi, r.gj) for r in found.where("own").collect()} == set(at)
+    meet = {k: (near[k], near.get((k[0] + di, k[1] + dj))) for k in near for di, dj in ((0, 1),)}
+    ids = {(r.a, r.b): r.edge_id for r in links.collect()}
+    sign = lambda p, q: None if q is None else 0 if p == q else ids[p, q] if p < q else -ids[q, p]
+    got = {(r.gi, r.gj): r for r in costed.collect()}
+    assert {k: r.right for k, r in got.items()} == {k: sign(*v) for k, v in meet.items()}
+    assert {k: r.down for k, r in got.items()} == {k: sign(near[k], near.get((k[0] + 1, k[1]))) for k in near}
+    assert all(r.right_sig == 1 for r in got.values() if r.right == 0) and all((r.right_sig is None) == (r.right is None) for r in got.values())
+
+
+def test_smoothing_in_time_decides_the_cycles(spark):
+    """A step of over pi between two halves: uniform costs take it as wrapped, the series' smooth course has it whole."""
+    at = [(i, j) for i in range(4) for j in range(8)]
+    days = list(range(-60, 61, 10))
+    truth = lambda c, d: 0.3 + 0.02 * c[0] + 0.01 * c[1] + (0.09 * days[d] if c[1] >= 4 else 0.0)
+    _, _, _, costed, offsets, phase = network_of(spark, 4, 8, at, truth, days)
+    solved = {(r.ifg_ix, r.gi, r.gj): r.uw for r in network.solve(costed, phase, offsets).collect()}
+    plain = {(r.ifg_ix, r.gi, r.gj): r.uw for r in unwrap.unwrap(phase.join(network.nodes(spark.createDataFrame(at, "gi int, gj int"), 4), "node").select(F.lit(0).alias("patch_id"), "ifg_ix", "gi", "gj", "ph")).collect()}
+    assert len(solved) == len(plain) == len(at) * len(days)
+    wrong = 0
+    for d in range(len(days)):
+        base, flat = solved[d + 1, 0, 0] - truth((0, 0), d), plain[d + 1, 0, 0] - truth((0, 0), d)
+        for c in at:
+            assert abs(solved[d + 1, *c] - truth(c, d) - base) < 1e-6
+            wrong += abs(plain[d + 1, *c] - truth(c, d) - flat) > 1
+    assert wrong > 0
+
+
+def test_edges_without_finite_noise_let_flow_pass(spark):
+    rnd = np.random.default_rng(3)
+    at = [(i, j) for i in range(3) for j in range(6)]
+    days = list(range(-60, 61, 10))
+    jumps = rnd.uniform(-np.pi, np.pi, (18, len(days)))
+    truth = lambda c, d: 0.2 + 0.01 * c[1] + (float(jumps[c[0] * 6 + c[1], d]) if c[1] == 3 else 0.0)
+    _, _, smoothed, costed, offsets, phase = network_of(spark, 3, 6, at, truth, days)
+    bad = {r.edge_id for r in smoothed.where("noise is null or isnan(noise)").collect()}
+    assert bad and all((r.right_sig is None) == (abs(r.right) in bad) for r in costed.where("right is not null").collect())
+    assert not bad & {r.edge_id for r in offsets.select("edge_id").distinct().collect()}
+    out = network.solve(costed, phase, offsets).join(network.nodes(spark.createDataFrame(at, "gi int, gj int"), 3), ["gi", "gj"]).join(phase, ["node", "ifg_ix"])
+    assert out.count() == len(at) * len(days) and out.where(F.abs(F.sin((F.col("uw") - F.col("ph")) / 2)) > 1e-6).count() == 0

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scatterlake.__main__ import main
-from scatterlake.operators import verify
+from scatterlake.operators import network, verify
 from scatterlake.plans import registry
 from scatterlake.plans.config import Params, RunConfig, refuse
 from scatterlake.plans.pipeline import run
@@ -66,7 +66,7 @@ def source(spark, n=90, dates=10):
     }
 
 
-def test_stages_end_to_end(spark, tmp_path, capsys):
+def test_stages_end_to_end(spark, tmp_path, capsys, monkeypatch):
     store = Store(spark, str(tmp_path / "run"))
     params = {"master_day": 50.5, "n_trial_wraps": 0.5, "random_samples": 2000, "clap_win": 4, "filter_grid_size": 200.0, "unwrap_grid_size": 400.0, "weed_standard_dev": 2.5, "scn_wavelength": 400.0}
     config = RunConfig(store.root, params=params)
@@ -83,6 +83,21 @@ def test_stages_end_to_end(spark, tmp_path, capsys):
     assert {r.status for r in dry} == {"planned"}
     again = run(store, RunConfig(store.root, start_step=0, params=params), {}).collect()
     assert {r.status for r in again} == {"skipped_existing"}
+    calls, solve = [], network.solve
+
+    def breaking(*of):
+        calls.append(of[1].select("ifg_ix").distinct().count())
+        if len(calls) == 2:
+            raise OSError("lost")
+        return solve(*of)
+
+    monkeypatch.setattr(network, "solve", breaking)  # the smoothed terms feed back, so every date is solved anew; the second batch breaks
+    step = RunConfig(store.root, 6, 6, params=params)
+    assert run(store, step, {}).first()["status"] == "failed"
+    assert run(store, step, {}).first()["status"] == "completed" and len(calls) > 2 and sum(calls) - calls[1] == 10
+    known = len(calls)
+    assert run(store, step, {}).first()["status"] == "completed" and len(calls) == known
+    assert store.read("unwrapped").count() == scene.count() * 11
     assert run(store, RunConfig(store.root, 3, 3, params=params), {}).first()["status"] == "completed" and store.status() == 3
     failed = run(store, RunConfig(store.root, 6, 8, params=params), {}).collect()
     assert [r.status for r in failed] == ["failed"]
