@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scatterlake.operators import grid
+
 
 def common(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     """Both coherences over the limit: (ps_id, mask_a, mask_b, mask_common)."""
@@ -16,13 +18,14 @@ def common(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
 def without_outliers(values: DataFrame, column: str, method: str = "iqr") -> DataFrame:
     """iqr: within 1.5 quartile ranges of the quartiles; zscore: within 3 population deviations of the mean.
 
-    The bounds are one aggregate row, joined by broadcast.
+    The quartiles are exact and looked up first; the other bounds are one aggregate
+    row, joined by broadcast.
     """
     v = F.col(column)
     if method == "iqr":
-        q = values.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
-        bounds = q.select((F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi"))
-    elif method == "zscore":
+        q1, q3 = grid.quantiles(values, column, (0.25, 0.75))
+        return values.where(v.between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) if q1 is not None else F.lit(False))
+    if method == "zscore":
         bounds = values.agg(F.avg(v).alias("m"), F.stddev_pop(v).alias("s")).select((F.col("m") - 3 * F.col("s")).alias("lo"), (F.col("m") + 3 * F.col("s")).alias("hi"))
     else:
         raise ValueError(f"unknown method {method}")

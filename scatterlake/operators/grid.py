@@ -1,8 +1,12 @@
-"""Points to grid cells and back, histograms, joins by distance."""
+"""Points to grid cells and back, histograms, order statistics, joins by distance."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+
 from pyspark import StorageLevel
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,6 +53,48 @@ def histogram(values: DataFrame, column: str, bins: int = 100, width: float = 0.
     return every.join(counts, "bin", "left").select("bin", ((F.col("bin") + 0.5) * width).alias("center"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def at_ranks(values: DataFrame, column: str, n: int, ranks: Iterable[int], few: int = 100_000, accuracy: int = 10_000) -> dict[int, float]:
+    """The column's values at ranks (from 0, NaN last) among its n that aren't null, exactly.
+
+    A sketch puts cuts around the ranks, all rows are counted between cuts, and only
+    the stretches that hold a rank are put in order, equal values as one row. A cut in
+    a bad place makes a stretch longer, never a value wrong.
+    """
+    v = values.select((F.col(column).cast("double") + 0.0).alias("v")).where("v is not null")
+    ranks, cuts = sorted(set(ranks)), []
+    if n > few:
+        near = sorted({min(max(r / n + d / accuracy, 0.0), 1.0) for r in ranks for d in (-2, 2)})
+        found = v.where(~F.isnan("v")).agg(F.percentile_approx("v", near[:: len(near) // 2000 + 1], accuracy)).first()[0] or []
+        cuts = sorted({x for f in found for x in (f, math.nextafter(f, math.inf)) if math.isfinite(x)})
+    placed = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="v", outputCol="slot", handleInvalid="keep").transform(v) if cuts else v.withColumn("slot", F.lit(0.0))
+    wanted, start, left = [], 0, ranks[::-1]
+    for slot, size in sorted(tuple(r) for r in placed.groupBy("slot").count().collect()):  # at most 4,002 slots
+        while left and left[-1] < start + size:
+            wanted.append((slot, left[-1], left.pop() - start))
+        start += size
+    if left:
+        raise ValueError(f"no rank {left[0]} among {start} values of {column}")
+    groups = placed.where(F.col("slot").isin(sorted({w[0] for w in wanted}))).groupBy("slot", "v").count()
+    running = groups.withColumn("upto", F.sum("count").over(W.partitionBy("slot").orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
+    sought = values.sparkSession.createDataFrame(wanted, "slot double, rank long, inside long")
+    hit = running.join(F.broadcast(sought), "slot").where("inside < upto and inside >= upto - count")
+    return {r["rank"]: r["v"] for r in hit.select("rank", "v").collect()}
+
+
+def quantiles(values: DataFrame, column: str, shares: Iterable[float]) -> list[float | None]:
+    """Exact quantiles, in between neighbours by a line; nulls left out, None if nothing else is there."""
+    n = values.where(F.col(column).isNotNull()).count()
+    if not n:
+        return [None for _ in shares]
+    places = [(n - 1) * s for s in shares]
+    found = at_ranks(values, column, n, [k for p in places for k in (math.floor(p), math.ceil(p))])
+    out = []
+    for p in places:
+        low, high = math.floor(p), math.ceil(p)
+        out.append(found[low] if found[low] == found[high] else (high - p) * found[low] + (p - low) * found[high] if high > low else found[low])
+    return out
+
+
 def area(points: DataFrame) -> DataFrame:
     """Square kilometres of each patch's bounding box; 1 if it has none."""
     side = lambda c: F.max(c) - F.min(c)
