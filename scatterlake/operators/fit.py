@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scatterlake.operators.grid import histogram
+from scatterlake.operators.grid import at_ranks, histogram
 
 QUARTER, NEAR = math.pi / 4, 2e-4
 FIT = "ps_id long, k double, c double, coh double"
@@ -118,14 +118,18 @@ def psquare_weights(observed: np.ndarray, random: np.ndarray, low: int = 31) ->
 
 
 def dispersion_bins(points: DataFrame, few: int = 10_000, many: int = 50_000, steps: tuple[int, int] = (2_000, 10_000)) -> DataFrame:
-    """Edges of amplitude-dispersion bins: order statistics at a fixed step with the ends; 0 and 1 for few points."""
-    n = points.count()
-    if n < few:
-        return points.sparkSession.createDataFrame([(0, 0.0), (1, 1.0)], "edge int, d_a double")
-    step = steps[n >= many]
-    shares = [min(1.0, k * step / n) for k in range(1, n // step + 1)]
-    found = points.agg(F.percentile_approx("d_a", shares, 1_000_000).alias("q"), F.max("d_a").alias("m")).first()
-    edges = sorted({0.0, *found["q"], found["m"]})
+    """Edges of amplitude-dispersion bins: 0, order statistics at a fixed step and the largest; 0 and 1 for few points.
+
+    The last step's points and the rest are one bin, so the step before the largest
+    has no edge. Equal values are edges as often as they come.
+    """
+    n = points.where("d_a is not null").count()
+    edges = [0.0, 1.0]
+    if n >= few:
+        step = steps[n >= many]
+        ranks = [*range(step - 1, n - step, step), n - 1]
+        found = at_ranks(points, "d_a", n, ranks)
+        edges = [0.0, *[found[r] for r in ranks]]
     return points.sparkSession.createDataFrame(list(enumerate(edges)), "edge int, d_a double")
 
 

@@ -53,7 +53,7 @@ def histogram(values: DataFrame, column: str, bins: int = 100, width: float = 0.
     return every.join(counts, "bin", "left").select("bin", ((F.col("bin") + 0.5) * width).alias("center"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def at_ranks(values: DataFrame, column: str, n: int, ranks: Iterable[int], few: int = 100_000, accuracy: int = 10_000) -> dict[int, float]:
+def at_ranks(values: DataFrame, column: str, n: int, ranks: Iterable[int], few: int = 5_000, accuracy: int = 10_000) -> dict[int, float]:
     """The column's values at ranks (from 0, NaN last) among its n that aren't null, exactly.
 
     A sketch puts cuts around the ranks, all rows are counted between cuts, and only
